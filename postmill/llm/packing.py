@@ -98,7 +98,8 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     caps = F.array(*[F.struct(F.lit(i).cast("int").alias("container_id"), F.lit(int(c)).cast("long").alias("capacity")) for i, c in sorted(kinds)])
     pieces = (
         sized.select(key, "_n", F.explode(caps).alias("_c"))
-        .select(key, "_n", "_c.*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("_n") - 1) / F.col("capacity")), F.lit(0).cast("long")))).alias("_k"))
+        .select(key, "_n", "_c.container_id", "_c.capacity")
+        .select("container_id", key, "_n", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("_n") - 1) / F.col("capacity")), F.lit(0).cast("long")))).alias("_k"))
         .select(
             "container_id", key, (F.col("_k") + 1).cast("int").alias("piece"), (F.col("_k") * F.col("capacity")).alias("start"),
             F.least(F.col("_n") - F.col("_k") * F.col("capacity"), F.col("capacity")).cast("int").alias("n"),
@@ -140,8 +141,6 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
                 run = starts[int(c)]
                 k = run[np.searchsorted(table[run, 2], rank[at], side="right") - 1]
                 bin_id[at] = table[k, 4] + (rank[at] - table[k, 2]) // table[k, 5]
-            yield b.drop(columns="_rank").assign(bin_id=pd.array(np.where(bin_id < 0, 0, bin_id), dtype="Int64").copy()).assign(
-                bin_id=lambda x, m=bin_id < 0: x["bin_id"].mask(m)
-            )
+            yield b.drop(columns="_rank").assign(bin_id=pd.arrays.IntegerArray(bin_id, bin_id < 0))
 
     return ranked.mapInPandas(place, shape)

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mojibake, packing, tokenize
+from postmill.llm import mojibake, names, packing, tokenize
 from postmill.session import spread
 from postmill.sources.tables import read_table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of typed names that mean the same person or organisation."""
+    return names.variants(read_table(spark, sf_dir, "messages").select("from_name", "client", "from_addr"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, without special tokens."""
     return tokenize.encode(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -31,5 +36,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
