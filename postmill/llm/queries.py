@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mojibake, names, packing, tokenize
+from postmill.llm import mojibake, names, packing, quotes, tokenize
 from postmill.session import spread
 from postmill.sources.tables import read_table
 
 
+def _dated_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rowid_fts, subject, sender, body and the message's best date."""
+    fts = read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "subject", "sender", "body")
+    date = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("date_certified", "date_sent", "fetched_at")])
+    at = F.coalesce(F.date_format(F.try_to_timestamp(date), "yyyy-MM-dd HH:mm:ss"), date)
+    dates = read_table(spark, sf_dir, "messages").groupBy(F.col("id").alias("msg_id")).agg(F.min(at).alias("at"))
+    linked = read_table(spark, sf_dir, "fts_map").join(dates, "msg_id").groupBy("rowid_fts").agg(F.min("at").alias("at"))
+    return spread(fts).join(linked, "rowid_fts", "left")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every body that its sender newly wrote."""
+    return quotes.own_lines(_dated_bodies(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of typed names that mean the same person or organisation."""
     return names.variants(read_table(spark, sf_dir, "messages").select("from_name", "client", "from_addr"))
@@ -36,5 +51,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
