@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mojibake, names, packing, quotes, tokenize
+from postmill.llm import mojibake, names, packing, pii, quotes, tokenize
 from postmill.session import spread
 from postmill.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information in subjects, bodies and attachment texts."""
+    fts = spread(read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "body", "attachments"))
+    inside = pii.find(fts, "rowid_fts", {"body": "body", "attachments": "attachments"})
+    inside = inside.join(read_table(spark, sf_dir, "fts_map").select(F.col("msg_id").alias("id"), "rowid_fts"), "rowid_fts")
+    subjects = spread(read_table(spark, sf_dir, "messages").select("id", "subject")).distinct()
+    columns = ["id", "field", "kind", "start_pos", "end_pos"]
+    return inside.select(*columns).union(pii.find(subjects, "id", {"subject": "subject"}).select(*columns).distinct())
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies and attachment texts with typed placeholders."""
+    fts = spread(read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "body", "attachments"))
+    return pii.redact(fts, "rowid_fts", {"body": "body", "attachments": "attachments"})
+
+
 def _dated_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rowid_fts, subject, sender, body and the message's best date."""
     fts = read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "subject", "sender", "body")
@@ -51,5 +67,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
