@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import mojibake, names, packing, pii, quotes, tokenize
+from postmill.llm import mojibake, names, packing, pii, quotes, scans, tokenize
 from postmill.session import spread
 from postmill.sources.tables import read_table
 
@@ -46,6 +46,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variants(read_table(spark, sf_dir, "messages").select("from_name", "client", "from_addr"))
 
 
+_SCAN_COLUMNS = ("extraction_id", "text", "is_ocr", "method", "pages")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page furniture, cut words and misread characters by line of every scanned text."""
+    return scans.found(spread(read_table(spark, sf_dir, "extractions").select(*_SCAN_COLUMNS)))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extracted text, the scanned ones as continuous paragraphs."""
+    return scans.repair(spread(read_table(spark, sf_dir, "extractions").select(*_SCAN_COLUMNS)))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, without special tokens."""
     return tokenize.encode(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -67,5 +80,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repair(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES = {"p5_found": p5_found, "p5_repaired": p5_repaired, "p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found, "p8_restored": p8_restored}
 ORACLE: dict[str, str] = {}
