@@ -46,3 +46,23 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     have = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if have >= want else df.repartition(want)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package: once for each context, and only where PYTHONPATH does not already."""
+    import shutil
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    on_path = root in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    if on_path or getattr(sc, "_postmill_shipped", False):
+        return
+    target = tempfile.mkdtemp(prefix="postmill-ship-")
+    for name in sorted(os.listdir(root)):
+        if os.path.isfile(os.path.join(root, name, "session.py")):
+            archive = shutil.make_archive(os.path.join(target, name), "zip", root, name)
+            sc.addPyFile(archive)
+            if archive in sys.path:
+                sys.path.remove(archive)  # the driver keeps its own copy
+    sc._postmill_shipped = True
