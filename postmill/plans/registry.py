@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from postmill.plans import records
+from postmill.plans import core, records
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (records,):
+for _module in (core, records):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

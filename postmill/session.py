@@ -24,6 +24,11 @@ def local_session(app: str = "postmill", cores: int | None = None) -> SparkSessi
     )
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
+    return (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="postmill-work-")).rstrip("/")
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
