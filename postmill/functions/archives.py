@@ -100,7 +100,7 @@ def _entries(name: str, data: bytes, kind: str, budget: Budget) -> Iterator[tupl
                 else:
                     yield info.name, *_read(t.extractfile(info), budget)
     elif budget.enter():
-        opener = {"gz": gzip.GzipFile, "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}[kind]
+        opener = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[kind]
         with opener(io.BytesIO(data)) as stream:
             base = name.replace("\\", "/").rpartition("/")[2]
             yield (_PACKED.sub(lambda m: ".tar" if m["tar"] else "", base) or "contenuto"), *_read(stream, budget)

@@ -16,6 +16,7 @@ repeated records count once; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -126,7 +127,10 @@ _NODE = "array<struct<table:string,parent_path:string,node_path:string,ordinal:i
 
 
 def _key(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, "$['" + key.replace("'", "\\'") + "']", "variant")
+    if re.fullmatch(r"[\w .:+-]+", key):
+        return F.try_variant_get(v, f"$['{key}']", "variant")
+    # a key that no path can quote is looked up in the object itself
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
 
 
 def _under(v: Column, path: Column, node: Node, table: str, parent: Column, lone: frozenset[str]) -> list[Column]:
@@ -192,15 +196,14 @@ def child_tables(df: DataFrame, key: str = "id", column: str = "record", lone: I
     out: dict[str, DataFrame] = {}
     all_nodes = nodes(df, key, column, schema, named)
 
-    def fields(node: Node, v: str, prefix: str = "") -> list[Column]:
+    def fields(node: Node, v: Column, prefix: str = "f") -> list[Column]:
         cols = []
         for k, sub in sorted(node.keys.items()):
-            path = f"{prefix}['{k}']"
+            name = f"{prefix}_{k}"
             if sub.keys and sub.item is None:
-                cols += fields(sub, v, path)
+                cols += fields(sub, _key(v, k), name)
             elif sub.item is None or sub.kinds - {"array", "NoneType"}:
-                name = (prefix + path[len(prefix):]).replace("']['", "_").strip("[]'")
-                cols.append(F.try_variant_get(F.col(v), "$" + path, "string").alias(f"f_{name}"))
+                cols.append(F.try_variant_get(_key(v, k), "$", "string").alias(name))
         return cols
 
     def visit(node: Node, table: str) -> None:
@@ -213,12 +216,12 @@ def child_tables(df: DataFrame, key: str = "id", column: str = "record", lone: I
         if sub.item is not None:
             if "object" in sub.item.kinds:
                 rows = all_nodes.where(F.col("table") == name)
-                out[name] = rows.select("id", "parent_path", "node_path", "ordinal", *fields(sub.item, "element"))
+                out[name] = rows.select("id", "parent_path", "node_path", "ordinal", *fields(sub.item, F.col("element")))
             visit(sub.item, name)
             level(sub.item, name + "_item")
 
     base = df.select(F.col(key).alias("id"), readable(column).alias("element")).where(F.col("element").isNotNull())
-    out["record"] = base.select("id", *fields(schema, "element"))
+    out["record"] = base.select("id", *fields(schema, F.col("element")))
     visit(schema, "")
     return out
 
