@@ -49,7 +49,7 @@ TRADES = (
 )
 _SMALL = set("di dei del della delle dell da de la il lo le e ed con per gli al".split())
 _WORD = re.compile(r"[^\W\d_]+(?:·[^\W\d_]+)?(?:'(?=\w))?")
-_CONTRACTED = re.compile(r"(?<![\w.])([^\W\d_]+)\.([^\W\d_]{2,3})\b\.?")
+_CONTRACTED = re.compile(r"(?<![\w.])([^\W\d_]+)\.([^\W\d_]{2,3}|[aeo](?![\w.]))\b\.?")
 
 
 def edit1(a: str, b: str) -> bool:
@@ -123,7 +123,7 @@ def _matches(token: str, word: str) -> bool:
     if "·" in token:
         a, b = token.split("·")
         return word.startswith(a) and word.endswith(b)
-    return token == word or (len(token) >= 2 and word.startswith(token)) or (len(token) >= 5 and edit1(token, word))
+    return token == word or (len(token) >= 2 and word.startswith(token)) or (len(token) >= 6 and word.endswith(token)) or (len(token) >= 5 and edit1(token, word))
 
 
 def _trades(tokens: list[str]) -> tuple[list[str], list[str]]:
@@ -164,7 +164,7 @@ def parse(value: str) -> tuple[str, str, list[str], int]:
 
     ``sure`` is 1 where the partner is spelled out, so that the value vouches for an entity.
     """
-    s = unicodedata.normalize("NFKC", value).casefold()
+    s = re.sub(r"(?<=[a-zà-ÿ]{3})(?=[A-Z][a-zà-ÿ])", " ", unicodedata.normalize("NFKC", value)).casefold()
     nick = re.search(r'["“”«»\'](\w{2,})["“”«»\']', s)
     s = re.sub(r'["“”«»].*?["“”«»]|\([^)]*\)', " ", s)
     parts = [p for p in re.split(r"\s+[-–|/]\s+", s) if p.strip()]

@@ -184,6 +184,34 @@ Ho sentito {P} ieri pomeriggio: mi ha lasciato il recapito {T10}.
 Ho sentito l'arch. {P} ieri: mi ha lasciato il / recapito {T10}. Vorremmo sapere quale sia lo stato.
 Fax e telefono dell'ufficio restano / invariati: {T10}. Il canone è dovuto.
 Per ogni chiarimento può chiamare {P} al {T10}. La rata scade.
+Ho sentito la signora {P} ieri pomeriggio: mi ha lasciato il recapito {T}.
+Ho sentito la / signora {P} ieri pomeriggio: mi ha lasciato il recapito {T}.
+Per ogni chiarimento può chiamare la signora {P} al {T}. La rata scade.
+Il referente è la signora {P}, raggiungibile a {E} oppure al numero {T}.
+L'intestatario la signora {P}, codice fiscale {C}, è residente in {A}.
+RE: Nomina la signora {P}: il piano di rientro
+AW: Pratica la signora {P} - il deposito cauzionale
+Il referente è geom. {L}, raggiungibile a {E} oppure al numero {T}.
+Ho sentito geom. {L} ieri pomeriggio: mi ha lasciato il recapito {T}. Ai sensi del regolamento.
+L'originale va spedito a {W}, {A}, all'attenzione di geom. / {L}.
+Le credenziali sono state inviate a {E} su richiesta di sig. / {L}. Il tecnico passerà.
+Le credenziali sono state inviate a {E} su richiesta di avv. / {L}. Dal {X} si procede.
+Il sopralluogo si farà in {A} alla presenza di avv. / {L} e {P}.
+Il sopralluogo si farà in {A} alla presenza di {PI} e {P}. Il bonifico è tornato.
+Ho sentito {PI} ieri pomeriggio: mi ha lasciato il recapito {T}.
+Ho sentito / {PI} ieri pomeriggio: mi ha lasciato il recapito {T}.
+La notifica a {PI} presso {A} non è andata a buon fine.
+La notifica a / {PI} presso / {A} non è andata a buon fine.
+L'originale va spedito a {W}, {A}, all'attenzione di {PI}. Per la manutenzione occorre pagare.
+Le credenziali sono state inviate a {E} su richiesta di {PI}. Ai sensi del regolamento.
+Le credenziali sono state inviate a {E} su richiesta di / {PI}. Nessuno ha mai visto la perizia.
+Il documento esibito da {PI} è {D}. Si sollecita il riscontro.
+Delega di {PI} ({C})
+Delega rilasciata a {PI} (c.f. {C}), tel. {T}.
+Il referente è {PI}, raggiungibile a {E} oppure al numero {T}.
+L'intestatario / {PI}, codice fiscale {C}, è residente in {A}.
+Saluti, / -- / {PI} / {O}
+Cordialità / {PI} / / Avviso legale
 visura_{FN}.pdf contratto.pdf elenco_297572.docx
 verbale_{FN}.zip / Nel frattempo il locatore ha cambiato indirizzo.
 CI {FN}.pdf quietanza 19-1-2025.PDF.P7M
@@ -314,7 +342,7 @@ class Filler:
         two = [r.choice(GIVEN).title(), self.surname()]
         r.shuffle(two)
         return {
-            "P": lambda: f"[name|{self.person()}]", "P1": lambda: f"[name|{' '.join(two)}]", "FN": lambda: f"[name|{sep.join(two)}]", "L": lambda: f"[name|{self.surname()}]", "G": lambda: f"[name|{r.choice(GIVEN).title()}]",
+            "P": lambda: f"[name|{self.person()}]", "P1": lambda: f"[name|{' '.join(two)}]", "PI": lambda: f"[name|{r.choice(GIVEN)[0].upper()}. {self.surname()}]", "FN": lambda: f"[name|{sep.join(two)}]", "L": lambda: f"[name|{self.surname()}]", "G": lambda: f"[name|{r.choice(GIVEN).title()}]",
             "E": lambda: f"[email|{self.email()}]", "T": lambda: f"[phone|{self.phone()}]", "C": lambda: f"[id_number|{self.tax_code()}]", "D": lambda: f"[id_number|{self.document()}]", "A": lambda: f"[address|{self.address()}]",
             "T10": lambda: f"[phone|3{d(9)}]", "O": self.organisation, "W": lambda: r.choice(_TOWNS), "N": lambda: str(r.randint(1, 99999)), "N10": lambda: "30" + d(8), "V": lambda: "0" + d(10), "M": lambda: r.choice([f"€ {d(2)},{d(2)}", f"EUR 1.{d(3)},{d(2)}", f"{d(3)},{d(2)} €", f"euro {d(2)}.{d(3)},{d(2)}"]),
             "X": lambda: r.choice([f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/202{r.randint(3, 6)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.202{r.randint(3, 6)}", f"{r.randint(1, 28)} {r.choice(['marzo', 'ottobre', 'maggio', 'dicembre', 'aprile', 'giugno'])} 202{r.randint(3, 6)}"]),
