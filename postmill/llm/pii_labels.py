@@ -212,6 +212,16 @@ Il referente è {PI}, raggiungibile a {E} oppure al numero {T}.
 L'intestatario / {PI}, codice fiscale {C}, è residente in {A}.
 Saluti, / -- / {PI} / {O}
 Cordialità / {PI} / / Avviso legale
+L'intestatario {P}, codice fiscale {C}, è residente in {A}. / Durante la visita a {W} sono stati contati {N} vani.
+L'intestatario {P}, codice fiscale {C}, è residente in {A}. / / L'offerta di {M} è la più bassa.
+L'intestatario sig.ra {L}, codice fiscale {C}, è residente in / {A}. / Cordiali saluti
+L'intestatario l'ing. {P}, codice fiscale {C}, è residente in {A}. / A oggi non risulta pervenuta risposta.
+Oggetto: Sopralluogo in {A} / / Buonasera, / Il tecnico passerà.
+Geom. {P} / {A} - {N} {W} / www.{H}
+{P} / {A} - {N} {W} / tel/fax {T}
+{O} / {A} - {N} {W} / ☎ {T} / e-mail: {E}
+{O} / {A} - {N} {W} / Cell. {T} / P.IVA {V}
+Saluti, / {P} / {A} - {N} {W} / Tel. {T}
 visura_{FN}.pdf contratto.pdf elenco_297572.docx
 verbale_{FN}.zip / Nel frattempo il locatore ha cambiato indirizzo.
 CI {FN}.pdf quietanza 19-1-2025.PDF.P7M
@@ -327,7 +337,7 @@ class Filler:
     def address(self) -> str:
         r = self.r
         number = str(r.randint(1, 199)) + r.choice(["", "", "", "/A", "/B", "/C", "bis", " bis", "/bis"])
-        if r.random() < 0.15:
+        if r.random() < 0.25:
             return f"{r.choice(_GERMAN)} {number}"
         road, place = r.choice(_ROADS), r.choice(_PLACES)
         return f"{road} {place.upper() if road.isupper() else place}{r.choice([' ', ', ', ', n. ', ' n. '])}{number}"

@@ -82,10 +82,11 @@ def line_features(lines: list[str], pages: int | None) -> tuple[list[int], np.nd
     in_order = [False] * n
     for i, (f, v) in enumerate(marks):
         if f:
-            in_order[i] = v == want.get(f, 1)
-            if v >= want.get(f, 1):
-                want[f] = v + 1
+            # numbers of lost lines may be missing; bare figures must go on and stay within the pages
+            in_order[i] = want.get(f, 1) <= v <= max(total, want.get(f, 1))
             if in_order[i]:
+                want[f] = v + 1
+            if in_order[i] or f not in (5, 7):
                 anchors.append(i)
     anchor_set = set(anchors)
     starts = [0] + [i + 1 for i in anchors if i + 1 < n] + [i - 1 for i in anchors if i] + [i + 2 for i in anchors if i + 2 < n and i + 1 in anchor_set]
@@ -93,13 +94,14 @@ def line_features(lines: list[str], pages: int | None) -> tuple[list[int], np.nd
     bare = [_bare(t) for t in text]
     short = [i for i in range(n) if len(text[i]) <= 90 and not _AMOUNT.match(text[i])]
     same = Counter(bare[i] for i in short)
+    titled = [i for i in short if len(text[i]) >= 8 and text[i][-1] not in ".!?:;," and not marks[i][0] and (i in edge or not text[i][0].islower()) and not _HEADING.match(text[i])]
     x = np.zeros((n, 18))
     for i, t in enumerate(text):
         f, v = marks[i]
         prev, nxt = text[i - 1] if i else "", text[i + 1] if i + 1 < n else ""
         repeats = same[bare[i]] - 1 if len(t) <= 90 else 0
-        if not repeats and i in edge and len(t) <= 90:
-            repeats = sum(j != i and abs(len(bare[j]) - len(bare[i])) <= 3 and lcs_ratio(bare[i], bare[j]) > 0.9 for j in edge)
+        if not repeats and i in titled:
+            repeats = sum(j != i and abs(len(bare[j]) - len(bare[i])) <= 3 and (bare[j][:3] == bare[i][:3] or bare[j][-5:] == bare[i][-5:]) and lcs_ratio(bare[i], bare[j]) > 0.9 for j in titled)
         alone = bool(re.search(r"[.!?:;,]$", prev)) or not prev
         x[i] = (
             f, float(in_order[i]), runs.get(f, 0) / max(total, 1), min(total, 9), float(i == n - 1), float(i == 0), min(repeats, 5), float(i in edge), float(i - 1 in anchor_set), float(i + 1 in anchor_set),
@@ -161,7 +163,7 @@ def training_page(seed: int) -> tuple[list[str], list[str], int]:
     number = lambda p: ["pagina %d", "Pag.%d", "Pag. %d di " + str(pages), "- %d -", "— %d —", "[%d]", "%d", "%d/" + str(pages), "R"][style] % p if style < 8 else ["I", "II", "III", "IV", "V", "VI"][p - 1]
     head = r.choice([None, f"Deliberazione n. {fill.digits(3)} del {fill.slot('X')}", f"Fascicolo {fill.slot('J')}", f"{r.choice(pii_labels._TOWNS).upper()}   REGISTRO ATTI", f"{fill.organisation().split(' S.')[0]} - {r.choice(['Amministrazione', 'Ufficio Gare', 'Segreteria', 'Settore Personale'])}"]) if pages > 1 else None
     first = r.random() < 0.5
-    with_number = r.random() < 0.85
+    with_number = r.random() < 0.8
     top = r.random() < 0.25
     body: list[tuple[str, str]] = []
     for _ in range(pages * r.randint(2, 4)):
@@ -190,21 +192,24 @@ def training_page(seed: int) -> tuple[list[str], list[str], int]:
             body.append(("", ""))
     per = -(-len(body) // pages)
     out: list[tuple[str, str]] = []
+    order = r.random()
     for p in range(1, pages + 1):
-        if top and with_number:
-            out.append((number(p), "page_furniture"))
-        if head and (p > 1 or first):
-            out.append((scan_word(head, r) if r.random() < 0.05 else head, "page_furniture"))
-        out += body[(p - 1) * per : p * per]
-        if not top and with_number and r.random() < 0.96:
-            out.append((number(p), "page_furniture"))
+        shown = [((scan_word(head, r) if r.random() < 0.12 else head), "page_furniture")] if head and (p > 1 or first) else []
+        count = [(number(p), "page_furniture")] if with_number and r.random() < 0.9 else []
+        page = body[(p - 1) * per : p * per]
+        if top:
+            out += (count + shown if order < 0.5 else shown + count) + page
+        elif order < 0.8:
+            out += shown + page + count
+        else:
+            out += page + (shown + count if order < 0.95 else count + shown)
     return [x for x, _ in out], [y for _, y in out], pages
 
 
 class Models:
     """The trained classifiers."""
 
-    def __init__(self, pages: int = 500, words: int = 1500):
+    def __init__(self, pages: int = 900, words: int = 1500):
         xs, ys, px, py = [], [], [], []
         for seed in range(pages):
             lines, faults, n = training_page(seed)
@@ -361,39 +366,31 @@ def default_models() -> Models:
     return _MODELS[0]
 
 
-def word_counts(df: DataFrame, reader: Reader, text: str = "text") -> DataFrame:
-    """(word, n_clean, n_scan): in how many clean and scanned texts each word stands, cut words joined.
-
-    Counts are summed within each batch before they leave the task.
-    """
-    columns = df.select(F.col(text).cast("string").alias("t"), F.col("pages").cast("int").alias("p"), scanned(df).alias("s")).where(F.length("t") > 0)
+def clean_words(df: DataFrame) -> DataFrame:
+    """(word, n_clean): in how many clean texts each word stands; summed within each batch before the shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            clean, scan = Counter(), Counter()
-            for t, p, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s:
-                    _, _, cuts, words = reader.read(t, p)
-                    scan.update({w[3].lower() for w in words})
-                    # a cut compound counts with its own hyphen only where it stands whole in a line
-                else:
-                    clean.update({w.strip(_EDGE).lower() for w in t.split()})
-            keys = [w for w in {*clean, *scan} if 2 <= len(w) <= 40 and not _CODE.search(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([clean[w] for w in keys], pa.int64()), pa.array([scan[w] for w in keys], pa.int64())], ["word", "n_clean", "n_scan"])
+            seen: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                seen.update({w.strip(_EDGE).lower() for w in t.split()})
+            words = [w for w in seen if 2 <= len(w) <= 40 and not _CODE.search(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n_clean"])
 
-    counted = columns.mapInArrow(run, "word string, n_clean long, n_scan long")
-    return counted.groupBy("word").agg(F.sum("n_clean").alias("n_clean"), F.sum("n_scan").alias("n_scan"))
+    texts = df.where(~scanned(df) & (F.length("text") > 0)).select("text")
+    return texts.mapInArrow(run, "word string, n_clean long").groupBy("word").agg(F.sum("n_clean").alias("n_clean"))
 
 
-def corrections(counts: DataFrame, rank: Boost, q: int = 3, least_clean: int = 3) -> DataFrame:
-    """(word, page): scanned words and what the page had, for words that no clean text holds.
+def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, least_clean: int = 3) -> DataFrame:
+    """(word, page): scanned words and what the page had.
 
+    ``odd`` has (word, n_scan) of words that no clean text holds, ``counts`` those of clean texts.
     Candidates are clean words of nearly the same length that share q-grams; the inverted join is on
     (q-gram, length), so a frequent q-gram meets only words of its own length.
     """
-    odd = counts.where((F.col("n_clean") == 0) & (F.col("n_scan") > 0) & (F.length("word") >= 2) & ~F.col("word").rlike(r"\d.*\d"))
+    odd = odd.where((F.length("word") >= 2) & ~F.col("word").rlike(r"\d.*\d"))
     good = counts.where((F.col("n_clean") >= least_clean) & F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.length("word") >= 2))
 
     def grams(d: DataFrame, near: bool) -> DataFrame:
@@ -436,13 +433,12 @@ def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common
     words of a text of them, however many texts there are.
     """
     models = models or default_models()
-    reader = Reader(models.furniture, models.cut)
+    reader = Reader(models.furniture, models.cut)  # small, travels with the task
     base = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), "is_ocr", "method", F.col("pages").cast("int").alias("pages"))
-    counts = checkpoint(word_counts(base, reader))
+    counts = checkpoint(clean_words(base))
     n_clean = base.where(~scanned(base) & (F.length("text") > 0)).count()
     least = max(3, -(-n_clean // common_share))
     common = base.sparkSession.sparkContext.broadcast(frozenset(r.word for r in counts.where(F.col("n_clean") >= least).select("word").collect()))
-    fixes = corrections(counts, models.rank)
 
     def read(body: str, pages: int | None) -> list[tuple]:
         known = common.value
@@ -472,7 +468,10 @@ def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common
     whole = counts.select(F.col("word").alias("page"), F.col("n_clean").alias("n_whole"))
     cuts = cuts.join(joined, "word", "left").join(whole, "page", "left").where(F.coalesce("n_whole", F.lit(0)) <= F.coalesce("n_joined", F.lit(0)))
     cuts = cuts.select("key", "line_no", F.lit("split_word").alias("fault"), "line_to", "word", F.lit(None).cast("string").alias("page"))
-    words = seen.where((F.col("fault") == "word")).join(fixes.withColumnRenamed("page", "fixed"), "word")
+    rare = seen.where(F.col("fault") == "word")
+    odd = rare.groupBy("word").agg(F.countDistinct("key").alias("n_scan")).join(counts, "word", "left_anti")
+    fixes = corrections(odd, counts, models.rank)
+    words = rare.join(fixes.withColumnRenamed("page", "fixed"), "word")
     # the first character that differs says on which line of a cut word the misread part stands
     same = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(1)) == F.substring("fixed", i, F.lit(1)))
     late = (F.col("border") > 0) & (F.array_position(same, False) > F.col("border"))
