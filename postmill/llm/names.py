@@ -18,6 +18,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.session import checkpoint
+
 # Titles, legal forms, office words, given names, their short forms, trades.
 TITLES = set("avv avvocato dott dottor dottore dottssa dottoressa dr drssa ing ingegner arch architetto geom geometra rag ragioniere sig sigra signor signora sigg prof profssa professor on notaio cav gent egr spett mr mrs ms herr frau mme m.me".split())
 LEGAL = re.compile(r"(?<!\w)(?:s\.?\s?r\.?\s?l\.?\s?s?|s\.?\s?p\.?\s?a|s\.?\s?n\.?\s?c|s\.?\s?a\.?\s?s|s\.?\s?s|soc\.?\s?coop|scarl|gmbh|ltd|inc|onlus)\.?(?!\w)")
@@ -242,12 +244,14 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
     """
     parsed = _parse_values(values.select("value"))
     parsed = parsed.join(vouched.select("core").distinct().withColumn("_ok", F.lit(1)), "core", "left").withColumn("ok", F.coalesce("_ok", F.lit(0))).drop("_ok")
+    # distinct values only: each stage is cut off, or the self joins would repeat all before them
+    parsed = checkpoint(parsed)
     long = parsed.select("value", "kind", "core", "sure", "ok", F.explode("partners").alias("partner"))
     cores = long.groupBy("kind", "core", "partner").agg(F.count(F.lit(1)).alias("n"), F.max("ok").alias("ok"), F.max("sure").alias("sure"))
     keyed = _keys(cores.where((F.length("core") >= 5) & (F.col("kind") != "other")))
     block = ["kind", "partner", "key"]
     sized = keyed.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
-    keyed = keyed.join(sized.where(F.col("size") > 1), block)
+    keyed = checkpoint(keyed.join(sized.where(F.col("size") > 1), block))
     small = keyed.where(F.col("size") <= common)
     big = keyed.where(F.col("size") > common)
     # too common even with the partner: one-deletion keys find every pair one error apart
@@ -263,14 +267,15 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
         return a.join(b, cols).where((F.col("oka") == 0) & (F.col("a") != F.col("b")) & better & (F.abs(F.length("a") - F.length("b")) <= 1))
 
     cols = ["kind", "partner", "a", "b", "okb", "nb", "sureb"]
-    met = meet(small).select(*cols).union(meet(cut).select(*cols)).distinct()
+    met = checkpoint(meet(small).select(*cols).union(meet(cut).select(*cols)).distinct())
     near = _compare(met.select("kind", "partner", "a", "b").distinct(), least).join(met, ["kind", "partner", "a", "b"])
-    best = near.groupBy("kind", "a", "partner").agg(F.max_by("b", F.struct("okb", "sureb", "nb", "ratio", F.col("b"))).alias("b"))
+    best = checkpoint(near).groupBy("kind", "a", "partner").agg(F.max_by("b", F.struct("okb", "sureb", "nb", "ratio", F.col("b"))).alias("b"))
     moved = best.select("kind", "partner", F.col("a").alias("core"), F.col("b").alias("to"))
     again = moved.select("kind", "partner", F.col("core").alias("to"), F.col("to").alias("to2"))
     moved = moved.join(again, ["kind", "partner", "to"], "left").select("kind", "partner", "core", F.coalesce("to2", "to").alias("to"))
+    moved = checkpoint(moved)
     # each reading (core as corrected under a partner) of each value
-    readings = long.join(moved, ["kind", "partner", "core"], "left").select("value", "kind", "sure", "partner", F.coalesce("to", "core").alias("core"), "ok", F.col("to").isNotNull().alias("fixed"))
+    readings = checkpoint(long.join(moved, ["kind", "partner", "core"], "left").select("value", "kind", "sure", "partner", F.coalesce("to", "core").alias("core"), "ok", F.col("to").isNotNull().alias("fixed")))
     vouch = readings.where(F.col("sure") == 1).select("kind", "partner", "core").distinct().withColumn("known", F.lit(1))
     hints = seen_with.select("value", "partner").distinct().withColumn("hint", F.lit(1))
     judged = readings.join(vouch, ["kind", "partner", "core"], "left").join(hints, ["value", "partner"], "left")
@@ -301,7 +306,7 @@ def variants(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), ad
     # an address that several writers share says nothing certain: keep a hint only where it is the value's only one
     only = Window.partitionBy("value")
     seen = seen.withColumn("_n", F.count(F.lit(1)).over(only)).where(F.col("_n") == 1).drop("_n")
-    linked = link(values, vouched, seen)
+    linked = checkpoint(link(values, vouched, seen))
     a = linked.select("entity", F.col("value").alias("name_a"))
     b = linked.select("entity", F.col("value").alias("name_b"))
     return a.join(b, "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
