@@ -225,6 +225,13 @@ Saluti, / {P} / {A} - {N} {W} / Tel. {T}
 visura_{FN}.pdf contratto.pdf elenco_297572.docx
 verbale_{FN}.zip / Nel frattempo il locatore ha cambiato indirizzo.
 CI {FN}.pdf quietanza 19-1-2025.PDF.P7M
+ricorso_{FN}.tar.gz fattura {C}.tif planimetria_619614.pdf
+quietanza_{FN}.tif / La riunione è convocata per {X}.
+CI {FN}.jpg modulo.xml CI {FN}.docx
+modulo_{FN}.docx contratto_{FN}.xlsx / Nel frattempo il locatore ha cambiato indirizzo.
+fattura_{P1}.7z perizia_{FN}.xml visura 2-3-2025.PDF
+planimetria_{FN}.txt elenco_{P1}.jpg
+CI {P1}.tif verbale_{FN}.pdf.p7m
 perizia_{P1}.docx modulo_383596.pdf
 elenco_{FN}.zip planimetria.xml
 ricorso {C}.pdf fattura 3-3-2025.PDF
@@ -272,7 +279,7 @@ _SURNAME_AS_PART = re.compile(r"(Comune di|Tribunale di|Farmacia|Consorzio di Bo
 
 _HEADS = "Ros Bian Fer Mar Col Bar Gal Con Cos Gio Man Riz Lom Mor Bel Tes Vil Cat Pal Gre San Val Cap Rug Ser Vit Fab Gat Mon Pel Sor Tor Dol Ebr Ols Urb Ilv Ans Lanz Qua Cor Nerv Stev Zor Per Bra Run Sga Dru Cre Fan Fro Ghi Laz Maz Ol Ris Rab Ben Tol".split()
 _MIDS = "a e i o u an el ir on ar il or en un al er ol at et av ud ov iv ed".split()
-_TAILS = "netti roni acci nasco reddu rigo licco naldo rone niani rozzi lucci relli nuolo rero vaghi nisi resi rotto latti noli vini sini lli zzi sti nti rdi telli dotto vetti rani bini gno".split()
+_TAILS = "netti roni acci nasco reddu rigo licco naldo rone niani rozzi lucci relli nuolo rero vaghi nisi resi rotto latti noli vini sini lli zzi sti nti rdi telli dotto vetti rani bini gno naro raro laro raghi laghi leddu neddu veddu letti detti vacci lacci ricco tasco basco lonno tini mini doni zozzi succi lupo ardo ese ich ner".split()
 _ROADS = "Via;Viale;V.le;Piazza;P.zza;Corso;C.so;Vicolo;Largo;Loc.;Strada;VIA;via;Contrada;Piazzale;Lungomare".split(";")
 _PLACES = "della Fornace;delle Rondini;dei Mandorli;del Castagno;della Pergola;dei Pescatori;del Mulino Vecchio;Garibaldi;Roma;della Sorgente;delle Querce;dei Tigli;del Lavatoio;San Giorgio;XX Settembre;dell'Olmo;Dante Alighieri;dei Vasai;del Pozzo;della Repubblica;delle Ginestre;degli Orti".split(";")
 _GERMAN = "Mühlweg Brunnengasse Bahnhofplatz Lindenstraße Kirchgasse Hauptstraße Gartenweg Schulplatz Rosenallee Bergstrasse Ringstraße Marktgasse".split()

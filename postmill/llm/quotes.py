@@ -264,7 +264,7 @@ def new_lines(body: str | None, sender: str | None = None, endings: frozenset[st
 
 def _trap(line: str) -> bool:
     """A lone line that starts with a sign but is no quotation: a comparison or a rule of a table."""
-    return bool(re.match(r"^\s*[>|]\s*\d", line)) and not re.match(r"^\s*>\s?\d+[./]", line)
+    return bool(re.match(r"^\s*>\s?\d+\s[^\W\d_]", line))
 
 
 def _strip_ending(lines: list[str], own: list[bool], a: int, b: int, names: frozenset[str], endings: frozenset[str]) -> None:
