@@ -461,3 +461,47 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     q = unique(stream.select("account", "content_hash")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("account", "content_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_NEWEST.format(cols='id, fetched_at, account, client, mailbox_label, mailbox_address, date_certified, date_sent')}
+  SELECT id, coalesce(nullif(client, ''), account) AS client, coalesce(nullif(mailbox_label, ''), nullif(mailbox_address, ''), account) AS label, coalesce(nullif(date_certified, ''), nullif(date_sent, ''), nullif(fetched_at, '')) AS date FROM newest""")
+def derived_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Client, mailbox label and date of each message, each from the first source that says it."""
+    m = _newest(spark, d, "id", "fetched_at", "account", "client", "mailbox_label", "mailbox_address", "date_certified", "date_sent")
+    c = F.col
+    return m.select("id", F.coalesce(text.first_of(c("client")), c("account")).alias("client"), F.coalesce(text.first_of(c("mailbox_label"), c("mailbox_address")), c("account")).alias("label"), times.best_date(c("date_certified"), c("date_sent"), c("fetched_at")).alias("date"))
+
+
+@query(f"""WITH {_NEWEST.format(cols='id, fetched_at, account, subject, date_certified')}, s AS (SELECT *, substr(regexp_replace(regexp_replace(regexp_replace({_FOLD.format(c='subject')}, '[^a-z0-9._-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 44) AS slug FROM newest)
+  SELECT id, CASE WHEN date_certified LIKE '____-__-__T__:__:__%' THEN strftime(CAST(replace(date_certified, 'Z', '+00:00') AS TIMESTAMPTZ) AT TIME ZONE 'Europe/Rome', '%Y%m%d-%H%M') ELSE 'senza-data' END || '_' || substr(lower(account), 1, 32) || '_' || CASE WHEN slug <> '' THEN slug ELSE 'senza-oggetto' END || '_' || substr(id, 1, 12) AS folder FROM s""")
+def message_folders(spark: SparkSession, d: str) -> DataFrame:
+    """The folder name under which each message is written."""
+    from postmill.functions import naming
+
+    m = _newest(spark, d, "id", "fetched_at", "account", "subject", "date_certified")
+    return m.select("id", naming.folder(F.col("account"), F.col("subject"), F.col("date_certified"), F.col("id")).alias("folder"))
+
+
+@query()
+def attachment_safe_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names under which each message's attachments are written, harmless and unique."""
+    from postmill.functions import naming
+
+    a = t(spark, d, "attachments").groupBy("msg_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return a.select("msg_id", "names", naming.unique_names("names").alias("files"))
+
+
+@query("SELECT m.id, r.n AS receipts, m.d FROM (SELECT id, min(coalesce(date_certified, fetched_at)) AS d, min(message_id) AS message_id FROM messages GROUP BY id) m JOIN (SELECT ref_message_id, count(DISTINCT msg_id) AS n FROM receipts WHERE ref_message_id IS NOT NULL GROUP BY 1) r ON r.ref_message_id = m.message_id")
+def receipts_per_message(spark: SparkSession, d: str) -> DataFrame:
+    """How many positive receipts answer each message."""
+    m = t(spark, d, "messages").groupBy("id").agg(F.min(archive.archive_date()).alias("d"), F.min("message_id").alias("ref_message_id"))
+    r = t(spark, d, "receipts").where(F.col("ref_message_id").isNotNull()).groupBy("ref_message_id").agg(F.countDistinct("msg_id").alias("receipts"))
+    return m.join(r, "ref_message_id").select("id", "receipts", "d")
+
+
+@query("SELECT m.id, s.status, s.attempts FROM (SELECT DISTINCT id FROM messages) m JOIN (SELECT msg_id, max(status) AS status, sum(attempts) AS attempts FROM mail_state WHERE attempts > 3 OR error IS NOT NULL GROUP BY msg_id) s ON s.msg_id = m.id")
+def troubled_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Archived messages whose ingestion failed or was tried too often."""
+    s = t(spark, d, "mail_state").where((F.col("attempts") > 3) | F.col("error").isNotNull()).groupBy(F.col("msg_id").alias("id")).agg(F.max("status").alias("status"), F.sum("attempts").alias("attempts"))
+    return t(spark, d, "messages").select("id").distinct().join(s, "id")
+
