@@ -107,7 +107,9 @@ def _worth(ch: str) -> float:
 
 
 #: Lower-cased lead characters and what they were. Fixed values.
-_RAISED = ({"ã": "Ã"}, {"â": "Â"}, {"ã": "Ã", "â": "Â"}, {"ă": "Ă"}, {"ã": "Ã", "å": "Å"})
+_RAISED = tuple(str.maketrans(a, b) for a, b in (("ã", "Ã"), ("â", "Â"), ("ãâ", "ÃÂ"), ("ă", "Ă"), ("ãå", "ÃÅ"), ("абвгдежзийклмнопрстуфхцчшщъыьэюяёђѓєѕіїјљњћќўџґ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁЂЃЄЅІЇЈЉЊЋЌЎЏҐ")))
+#: A lead byte shown as a letter whose second byte, a no-break space, was turned into a blank.
+_BLANKED = re.compile(r"(?<=[a-z])(?:[ÃĂã]|Г|├)[ \xa0](?=[\s.,;:!?)»\"']|$)")
 
 
 def _spans(text: str) -> str:
@@ -119,10 +121,8 @@ def _spans(text: str) -> str:
         if len(run) < 2:
             return run
         best, gain = run, 0.0
-        variants = [run] + [run.translate(str.maketrans(r)) for r in _RAISED if any(c in run for c in r)]
+        variants = [run] + [v for r in _RAISED if (v := run.translate(r)) != run]
         for variant in variants:
-            if variant is not run and best is not run:
-                break
             for page in PAGES:
                 table = to_bytes(page)
                 data = [table.get(ch, -1) for ch in variant]
@@ -135,11 +135,13 @@ def _spans(text: str) -> str:
                     out += (run[at:a], got)
                     at = b
                     won += (b - a) * sum(worth) / len(worth)
+                if variant is not run:
+                    won *= 0.75  # what stands there needs no raising
                 if won > gain:
                     best, gain = "".join((*out, run[at:])), won
         return best
 
-    return _HIGH.sub(decode, text)
+    return _BLANKED.sub("à", _HIGH.sub(decode, text))
 
 
 def _place(prev: str, ch: str, nxt: str) -> float:
@@ -221,10 +223,12 @@ def _exchange(line: str, table: dict[int, str]) -> str:
     out, n = list(line), len(line)
     for m in _HIGH.finditer(line):
         for i in range(m.start(), m.end()):
-            if other[i] != line[i]:
-                was = _place(line[i - 1] if i else " ", line[i], line[i + 1] if i + 1 < n else " ")
-                if _place(other[i - 1] if i else " ", other[i], other[i + 1] if i + 1 < n else " ") > was:
-                    out[i] = other[i]
+            prev, nxt = other[i - 1] if i else " ", other[i + 1] if i + 1 < n else " "
+            best = _place(line[i - 1] if i else " ", line[i], line[i + 1] if i + 1 < n else " ")
+            raised = line[i].upper()
+            for new in (other[i], raised.translate(table).lower() if len(raised) == 1 and raised != line[i] else line[i]):
+                if new != line[i] and len(new) == 1 and (p := _place(prev, new, nxt)) > best:
+                    out[i], best = new, p
     return "".join(out)
 
 
