@@ -222,6 +222,25 @@ Geom. {P} / {A} - {N} {W} / www.{H}
 {O} / {A} - {N} {W} / ☎ {T} / e-mail: {E}
 {O} / {A} - {N} {W} / Cell. {T} / P.IVA {V}
 Saluti, / {P} / {A} - {N} {W} / Tel. {T}
+Gli allegati sono {N}. Vale / il parere fisico-chimico espresso a {W}.
+Il documento esibito da {P} è {D}. Vale il parere tecnico-amministrativo espresso a {W}.
+Quantità {N} colli. Vale il parere agro-alimentare espresso a {W}. Il profilo resta immutato.
+{W} / REGISTRO ATTI / ALLEGATO V / Chi intende partecipare deve firmare.
+contratto.txt / Il collegio ha deciso.
+verbale.pdf.p7m
+Le {X} à 09:33, {P} a écrit : / Bonjour, / Le bureau vérifiera où le reçu a été déposé.
+Bonjour, / / Les pièces jointes ne sont pas lisibles.
+Bonjour, Guten Tag, Hello, Madame, Monsieur, Dear all, Sehr geehrte Damen und Herren,
+Trasmissione della polizza
+R: Trasmissione dello stato di avanzamento
+Trasmissione del verbale
+Integrazione pratica {N}
+La fornitura di materiali - riscontro
+L'accesso agli atti - riscontro
+Richiesta di esaminare con calma il contratto
+L'originale va spedito a {W}, {A}, all'attenzione di {P}. La rata numero {N} è la prima.
+L'originale va spedito a {W}, / {A}, / all'attenzione di avv. {L}. Il canone è dovuto.
+Legale rappresentante / {A} - {N} {W} / Tel. {T}
 visura_{FN}.pdf contratto.pdf elenco_297572.docx
 verbale_{FN}.zip / Nel frattempo il locatore ha cambiato indirizzo.
 CI {FN}.pdf quietanza 19-1-2025.PDF.P7M
@@ -309,16 +328,16 @@ class Filler:
         r = self.r
         g, s = r.choice(GIVEN), self.surname().lower()
         local = r.choice([f"{g}.{s}", f"{g[0]}.{s}", f"{s}{self.digits(2)}", f"{g}_{s}", f"{s}.{g}+pec", f"{g}-{s}", f"{g[0]}{s}", f"posta{self.digits(1)}"])
-        host = r.choice(["pec", "mail", "studio", "rete", "legal", ""]) + "." + r.choice(["civetta", "corriera", "fermoposta", "arcolai", "ombrosa", "postalume", "cassetta-blu"]) + "." + r.choice(["example", "test", "it"])
+        host = r.choice(["pec", "mail", "studio", "rete", "legal", "", ""]) + "." + r.choice(["civetta", "corriera", "fermoposta", "arcolai", "ombrosa", "posta-lume", "cassetta-blu"]) + "." + r.choice(["example", "test", "it"])
         host = host.strip(".")
         kind = r.random()
-        if kind < 0.72:
+        if kind < 0.62:
             return f"{local}@{host}"
-        if kind < 0.78:
+        if kind < 0.68:
             return f"{local}@{host}".upper()
-        if kind < 0.84:
+        if kind < 0.74:
             return f"{local}(at){host}"
-        if kind < 0.91:
+        if kind < 0.84:
             return f"{local} [at] {host}"
         return f"{local} chiocciola {host.replace('.', ' punto ')}"
 
