@@ -287,7 +287,8 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
     sorted_at = F.array_sort("at")
     entity = F.when(one, F.to_json(F.element_at("at", 1))).otherwise(F.to_json(sorted_at))
     whole = parsed.select("value", "kind", "core").join(judged.select("value", entity.alias("entity")), "value", "left")
-    return whole.select("value", F.coalesce("entity", F.concat(F.lit("="), F.col("kind"), F.lit(":"), F.col("core"))).alias("entity"))
+    alone = F.when(F.col("core") != "", F.concat(F.lit("="), F.col("kind"), F.lit(":"), F.col("core"))).otherwise(F.concat(F.lit("=:"), F.col("value")))
+    return whole.select("value", F.coalesce("entity", alone).alias("entity"))
 
 
 def variants(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), address: str = "from_addr") -> DataFrame:

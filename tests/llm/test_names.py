@@ -49,6 +49,10 @@ def test_links(spark):
         ["Tribunale di Bentarossi"],
         ["Paolo Galvoredo"],
         ["Paola Galvoredo"],
+        [" "],
+        ["  "],
+        ["??"],
+        ["x" * 20000 + " y"],
     ]
     rows = [(v, w, None) for group in same for v in group for w in (None, "", "x@y.example")] + [(None, "Maria Torvelini", None)]
     df = spark.createDataFrame(rows, "from_name string, client string, from_addr string").withColumnRenamed("x", "entity")
