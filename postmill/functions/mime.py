@@ -74,6 +74,7 @@ def tidy(text: str) -> str:
 class _Reader(HTMLParser):
     """Collects readable text. Elements without content never open a skipped region."""
 
+    # Elements without readable content, and those that begin or end a line.
     hidden = frozenset("script style head title noscript".split())
     lines = frozenset("p div br tr table ul ol h1 h2 h3 h4 h5 h6 blockquote section article header footer pre hr form fieldset dl dt dd".split())
 
