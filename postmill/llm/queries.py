@@ -26,19 +26,14 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(fts, "rowid_fts", {"body": "body", "attachments": "attachments"})
 
 
-def _dated_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rowid_fts, subject, sender, body and the message's best date."""
-    fts = read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "subject", "sender", "body")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every body that its sender newly wrote."""
     date = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("date_certified", "date_sent", "fetched_at")])
     at = F.coalesce(F.date_format(F.try_to_timestamp(date), "yyyy-MM-dd HH:mm:ss"), date)
     dates = read_table(spark, sf_dir, "messages").groupBy(F.col("id").alias("msg_id")).agg(F.min(at).alias("at"))
     linked = read_table(spark, sf_dir, "fts_map").join(dates, "msg_id").groupBy("rowid_fts").agg(F.min("at").alias("at"))
-    return spread(fts).join(linked, "rowid_fts", "left")
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every body that its sender newly wrote."""
-    return quotes.own_lines(_dated_bodies(spark, sf_dir))
+    fts = read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "subject", "sender", "body")
+    return quotes.own_lines(spread(fts), dates=linked)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

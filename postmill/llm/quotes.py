@@ -341,22 +341,22 @@ def _tail(body: str | None, n: int = 14) -> list[str]:
     return sorted({form(x) for x in own[-n:] if len(x) <= 90 and not _CLOSE.match(x)})
 
 
-def inherited_lines(df: DataFrame, least: int = 160) -> DataFrame:
+def inherited_lines(bodies: DataFrame, marks: DataFrame, least: int = 160) -> DataFrame:
     """(key, inherited): line indexes (from 0) that repeat ``least`` letters of an earlier message of the thread.
 
-    ``df`` has key, subject, body, at (a sortable time). A thread is never gathered: each fingerprint
-    keeps its earliest holder, and a message meets only the holders of its own fingerprints.
+    ``bodies`` has key and body, ``marks`` key, subject and at (a sortable time). A thread is never
+    gathered: each fingerprint keeps its earliest holder, and a message meets only the holders of its own
+    fingerprints. Only texts of threads with several messages are read for fingerprints.
     """
-    threaded = df.select("key", reply_key(F.col("subject")).alias("thread"), "at", "body").where(F.col("thread").isNotNull() & (F.length("body") >= least))
+    threaded = marks.select("key", reply_key(F.col("subject")).alias("thread"), "at").where(F.col("thread").isNotNull())
     sizes = threaded.groupBy("thread").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("thread")
-    shared = threaded.join(sizes, "thread", "left_semi")
-
+    shared = bodies.join(threaded.join(sizes, "thread", "left_semi"), "key").where(F.length("body") >= least)
     fps = fan_out(shared, ["body"], ["thread", "key", "at"], {"fp": "long"}, lambda body: [(x,) for x in fingerprints(letters(body)[0])])
     first = fps.groupBy("thread", "fp").agg(F.min(F.struct(F.coalesce("at", F.lit("")).alias("at"), "key")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     hits = fps.join(first, ["thread", "fp"]).where(F.col("first.key") != F.col("key")).where(F.col("first.at") < F.coalesce("at", F.lit("")))
     pairs = hits.select("key", F.col("first.key").alias("source")).distinct()
-    texts = df.select(F.col("key").alias("source"), F.col("body").alias("source_body"))
-    sourced = pairs.join(texts, "source").groupBy("key").agg(F.collect_list("source_body").alias("sources")).join(df.select("key", "body"), "key")
+    texts = bodies.select(F.col("key").alias("source"), F.col("body").alias("source_body"))
+    sourced = pairs.join(texts, "source").groupBy("key").agg(F.collect_list("source_body").alias("sources")).join(bodies, "key")
 
     def mark(body: str, sources: list[str]) -> list[tuple[list[int]]]:
         text, at = letters(body)
@@ -382,14 +382,19 @@ def recurring_endings(df: DataFrame, times: int = 2, salts: int = 16) -> DataFra
     return met.groupBy("key").agg(F.collect_set("form").alias("endings"))
 
 
-def own_lines(df: DataFrame, key: str = "rowid_fts") -> DataFrame:
+def own_lines(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = None) -> DataFrame:
     """(key, line_no) of each line, not blank, that the message's sender newly wrote.
 
-    ``df`` has the key (unique), subject, sender, body and at. Null and blank bodies have no line;
-    null subjects and senders only lose what these would tell.
+    ``df`` has the key (unique), subject, sender and body; ``dates`` has the key and ``at``, or ``df``
+    has ``at`` itself. Texts meet dates only as keys, so that they are not shuffled for them. Null and
+    blank bodies have no line; null subjects, senders and dates only lose what these would tell.
     """
-    base = df.select(F.col(key).alias("key"), F.col("subject").cast("string").alias("subject"), F.col("sender").cast("string").alias("sender"), F.col("body").cast("string").alias("body"), F.col("at").cast("string").alias("at"))
-    full = base.join(inherited_lines(base), "key", "left").join(recurring_endings(base), "key", "left").where(F.col("body").isNotNull())
+    bodies = df.select(F.col(key).alias("key"), F.col("body").cast("string").alias("body")).where(F.length("body") > 0)
+    heads = df.select(F.col(key).alias("key"), F.col("subject").cast("string").alias("subject"))
+    times = (df if dates is None else dates).select(F.col(key).alias("key"), F.col("at").cast("string").alias("at"))
+    inherited = inherited_lines(bodies, heads.join(times, "key", "left"))
+    sent = df.select(F.col(key).alias("key"), F.col("sender").cast("string").alias("sender"), F.col("body").cast("string").alias("body")).where(F.length("body") > 0)
+    full = sent.join(inherited, "key", "left").join(recurring_endings(sent), "key", "left")
 
     def run(body: str, sender: str | None, endings: list[str] | None, inherited: list[int] | None) -> list[tuple[int]]:
         return [(k,) for k in new_lines(body, sender, frozenset(endings or ()), frozenset(inherited or ()))]
