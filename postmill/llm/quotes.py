@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.arrow import fan_out
+from postmill.session import checkpoint
 
 # Words of the archive's languages around quoted mail.
 _REPLY = r"^(?:(?:r|re|i|fw|fwd|aw|wg|tr|rif|posta certificata|anomalia messaggio)\s*:\s*)+"
@@ -350,13 +351,14 @@ def inherited_lines(bodies: DataFrame, marks: DataFrame, least: int = 160) -> Da
     """
     threaded = marks.select("key", reply_key(F.col("subject")).alias("thread"), "at").where(F.col("thread").isNotNull())
     sizes = threaded.groupBy("thread").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("thread")
-    shared = bodies.join(threaded.join(sizes, "thread", "left_semi"), "key").where(F.length("body") >= least)
+    shared = checkpoint(bodies.join(threaded.join(sizes, "thread", "left_semi"), "key").where(F.length("body") >= least))
     fps = fan_out(shared, ["body"], ["thread", "key", "at"], {"fp": "long"}, lambda body: [(x,) for x in fingerprints(letters(body)[0])])
     first = fps.groupBy("thread", "fp").agg(F.min(F.struct(F.coalesce("at", F.lit("")).alias("at"), "key")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     hits = fps.join(first, ["thread", "fp"]).where(F.col("first.key") != F.col("key")).where(F.col("first.at") < F.coalesce("at", F.lit("")))
     pairs = hits.select("key", F.col("first.key").alias("source")).distinct()
-    texts = bodies.select(F.col("key").alias("source"), F.col("body").alias("source_body"))
-    sourced = pairs.join(texts, "source").groupBy("key").agg(F.collect_list("source_body").alias("sources")).join(bodies, "key")
+    # both sides of a pair are among the shared texts
+    texts = shared.select(F.col("key").alias("source"), F.col("body").alias("source_body"))
+    sourced = pairs.join(texts, "source").groupBy("key").agg(F.collect_list("source_body").alias("sources")).join(shared.select("key", "body"), "key")
 
     def mark(body: str, sources: list[str]) -> list[tuple[list[int]]]:
         text, at = letters(body)
