@@ -21,9 +21,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies and attachment texts with typed placeholders."""
+    """Subjects, bodies and attachment texts with typed placeholders; a text without a link in fts_map has a null id."""
     fts = spread(read_table(spark, sf_dir, "messages_fts").select("rowid_fts", "body", "attachments"))
-    return pii.redact(fts, "rowid_fts", {"body": "body", "attachments": "attachments"})
+    inside = pii.redact(fts, "rowid_fts", {"body": "body", "attachments": "attachments"})
+    inside = inside.join(read_table(spark, sf_dir, "fts_map").select(F.col("msg_id").alias("id"), "rowid_fts"), "rowid_fts", "left")
+    subjects = spread(read_table(spark, sf_dir, "messages").select("id", "subject")).distinct()
+    columns = ["id", "field", "text", "rowid_fts"]
+    subjects = pii.redact(subjects, "id", {"subject": "subject"}).withColumn("rowid_fts", F.lit(None).cast("bigint"))
+    return inside.select(*columns).union(subjects.select(*columns))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,23 @@ def test_redact_and_find(spark, tagger):
     assert red[(1, "body")].startswith("Il referente è [NAME], raggiungibile a [EMAIL] oppure al numero [PHONE].\nIl rif")
     assert red[(2, "body")] is None and red[(3, "body")] == ""
     assert pii.find(df.limit(0), "id", {"body": "body"}).count() == 0
+
+
+def test_redacted_query_has_every_field(spark, tmp_path):
+    from postmill.llm import queries
+
+    subject = "Delega di Anna Belletti (BLLNNA80A41Y123X)"
+    tables = {
+        "messages": ([("m1", subject), ("m1", subject), ("m2", None), ("m3", "Avviso")], "id string, subject string"),
+        "messages_fts": ([(1, "Il referente è Mario Rossetti.", "x.pdf"), (2, None, "")], "rowid_fts long, body string, attachments string"),
+        "fts_map": ([("m1", 1)], "msg_id string, rowid_fts long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = queries.p1_redacted(spark, str(tmp_path)).collect()
+    got = {(r.id, r.rowid_fts, r.field): r.text for r in rows}
+    assert len(rows) == len(got) == 7
+    assert got["m1", None, "subject"] == "Delega di [NAME] ([ID])"
+    assert got["m2", None, "subject"] is None and got["m3", None, "subject"] == "Avviso"
+    assert got["m1", 1, "body"] == "Il referente è [NAME]."
+    assert got[None, 2, "body"] is None and got[None, 2, "attachments"] == ""
