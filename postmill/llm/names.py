@@ -2,10 +2,10 @@
 
 Every distinct value is parsed once into a core token (surname, or the distinctive word of an
 organisation) and a partner (the given names it may stand for, or the trades). Cores that differ by a
-typing error are found by suffix blocking: suffixes of half the core's length, of the core and of its
-reversal, so that one error anywhere leaves one of them whole. Blocks are refined with the partner
-before anything is compared; a block that is still too common is compared through deletion keys
-instead, so no pair is lost. Pairs are scored by longest-common-subsequence ratio.
+typing error are found by blocks within the partner. From 6 letters on these are suffixes of half the
+core's length, of the core and of its reversal: from 7 letters on, one error anywhere leaves one of them
+whole. Cores of up to 6 letters meet through one-deletion keys, and so do the cores of a block that is
+still too common. Pairs are scored by longest-common-subsequence ratio.
 """
 
 from __future__ import annotations
@@ -225,6 +225,12 @@ def _keys(cores: DataFrame) -> DataFrame:
     return cores.select("*", F.explode(F.array_distinct(F.flatten(both))).alias("key"))
 
 
+def _deletion_keys(cores: DataFrame) -> DataFrame:
+    """The core itself and the core without one letter: any two cores one error apart share a key."""
+    without = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core"))))
+    return cores.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.col("core")), without))))
+
+
 def _compare(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         for b in batches:
@@ -240,7 +246,7 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
     ``values`` has the column value (distinct, not null); ``vouched`` has the column core: tokens
     known to be spelled right (from addresses); ``seen_with`` has (value, partner): a given name seen
     in an address used with the value. ``common`` is the block size from which deletion keys replace
-    suffixes. A value that cannot be parsed is its own entity.
+    suffixes; cores of up to 6 letters have them at every size. A value that cannot be parsed is its own entity.
     """
     parsed = _parse_values(values.select("value"))
     parsed = parsed.join(vouched.select("core").distinct().withColumn("_ok", F.lit(1)), "core", "left").withColumn("ok", F.coalesce("_ok", F.lit(0))).drop("_ok")
@@ -248,16 +254,16 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
     parsed = checkpoint(parsed)
     long = parsed.select("value", "kind", "core", "sure", "ok", F.explode("partners").alias("partner"))
     cores = long.groupBy("kind", "core", "partner").agg(F.count(F.lit(1)).alias("n"), F.max("ok").alias("ok"), F.max("sure").alias("sure"))
-    keyed = _keys(cores.where((F.length("core") >= 5) & (F.col("kind") != "other")))
+    cores = checkpoint(cores.where(F.col("kind") != "other"))
+    # 6 letters have both kinds of keys: deletions for 5 and 6 letters, suffixes for 7
+    keyed = _keys(cores.where(F.length("core") >= 6))
     block = ["kind", "partner", "key"]
     sized = keyed.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
     keyed = checkpoint(keyed.join(sized.where(F.col("size") > 1), block))
     small = keyed.where(F.col("size") <= common)
-    big = keyed.where(F.col("size") > common)
-    # too common even with the partner: one-deletion keys find every pair one error apart
-    cut = big.drop("key", "size").distinct().withColumn(
-        "key", F.explode(F.concat(F.array(F.col("core")), F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core"))))))
-    )
+    # too short for a suffix to be whole, or too common even with the partner
+    short = cores.where(F.length("core") <= 6)
+    cut = _deletion_keys(keyed.where(F.col("size") > common).select(*short.columns).union(short).distinct())
 
     def meet(k: DataFrame) -> DataFrame:
         cols = ["kind", "partner", "key"]
@@ -302,7 +308,11 @@ def variants(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), ad
     parts = F.split(F.lower(F.col(address).cast("string")), r"[@.+_\-\d]+")
     addressed = df.select(F.col(names[0]).cast("string").alias("value"), parts.alias("parts")).distinct()
     tokens = addressed.select(F.explode("parts").alias("t")).where(F.length("t") > 4).distinct()
-    vouched = tokens.select(F.explode(F.array(F.col("t"), F.expr("substring(t, 2)"))).alias("core")).where(F.length("core") > 4).distinct()
+    vouched = tokens.select(F.explode(F.array(F.col("t"), F.expr("substring(t, 2)"))).alias("core")).where(F.length("core") > 4)
+    # short cores: the whole part of an address, or what follows the initial of a word of the name used with it
+    brief = addressed.select(F.concat(F.lit(" "), F.lower("value")).alias("named"), F.explode("parts").alias("t")).where(F.length("t").between(2, 5))
+    led = brief.where(F.contains("named", F.concat(F.lit(" "), F.substring("t", 1, 1)))).select(F.expr("substring(t, 2)").alias("core"))
+    vouched = vouched.union(brief.select("t").where(F.length("t") < 5)).union(led.where(F.length("core") > 1)).distinct()
     seen = addressed.where(F.col("value").isNotNull()).select("value", F.explode("parts").alias("partner")).where(F.col("partner").isin(*GIVEN)).distinct()
     # an address that several writers share says nothing certain: keep a hint only where it is the value's only one
     only = Window.partitionBy("value")

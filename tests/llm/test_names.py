@@ -73,3 +73,22 @@ def test_common_blocks_lose_nothing(spark):
     few = {(r.value, r.entity) for r in names.link(values, vouched, seen, common=3).collect()}
     many = {(r.value, r.entity) for r in names.link(values, vouched, seen, common=10**6).collect()}
     assert few == many
+
+
+def test_errors_in_short_cores(spark):
+    pairs = [("Rossi", "Rozsi"), ("Rossi", "Rosi"), ("Verdi", "Vredi"), ("Bardi", "Badri"), ("Torven", "Tovren"), ("Galdon", "Galdovn"), ("Nutri", "Nuti")]
+    # Mario Rosi and Mario Dossi have addresses of their own: other persons, no errors
+    apart = [("Mario Rosi", "m.rosi@x.example"), ("Mario Dosi", "mdosi@x.example"), ("Mario Dossi", "mario.dossi@x.example")]
+    rows = [(f"{given} {right}", f"{given} {wrong}", f"{given.lower()}.{right.lower()}@x.example") for given, (right, wrong) in zip(("Anna", "Paola", "Luca", "Marco", "Elena", "Sara", "Laura"), pairs, strict=True)]
+    rows += [(v, None, at) for v, at in [*apart, ("Mario Rossi", "mario.rossi@x.example")]]
+    df = spark.createDataFrame(rows, "from_name string, client string, from_addr string")
+    got = {(r.name_a, r.name_b) for r in names.variants(df).collect()}
+    rosi = ("Paola Rosi", "Paola Rossi")
+    want = {tuple(sorted((a, b))) for a, b, _ in rows if b}
+    assert want - got <= {rosi} and got <= want
+    alone = df.where("from_name = 'Paola Rossi'")
+    assert {(r.name_a, r.name_b) for r in names.variants(alone).collect()} == {rosi}
+    values = df.selectExpr("explode(array(from_name, client)) as value").where("value is not null").distinct()
+    none = spark.createDataFrame([], "core string"), spark.createDataFrame([], "value string, partner string")
+    few, many = ({(r.value, r.entity) for r in names.link(values, *none, common=c).collect()} for c in (1, 10**6))
+    assert few == many
