@@ -22,6 +22,12 @@ def p4_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "parent_path", "node_path", "ordinal", get("nome"), get("content_type")).distinct()
 
 
+def p4_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The child rows of every array level: level, parent link, path, ordinal and the element as JSON."""
+    rows = records.nodes(read_table(spark, sf_dir, "messages").select("id", "record"))
+    return rows.select("id", "table", "parent_path", "node_path", "ordinal", F.to_json("element").alias("element")).distinct()
+
+
 _NAMES = ", ".join(f"'{x}'" for x in records.LONE_ARRAYS)
 _WALK = f"""
 WITH RECURSIVE docs AS (
@@ -42,7 +48,7 @@ WITH RECURSIVE docs AS (
   FROM walk w JOIN tree t ON t.n = w.n AND t.up = w.nid
 )
 """
-QUERIES = {"p4_found": p4_found, "p4_attachments": p4_attachments}
+QUERIES = {"p4_found": p4_found, "p4_attachments": p4_attachments, "p4_children": p4_children}
 ORACLE = {
     "p4_found": _WALK + "SELECT DISTINCT mid AS id, path AS node_path FROM walk WHERE held",
     "p4_attachments": _WALK

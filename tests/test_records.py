@@ -49,3 +49,15 @@ def test_child_tables(spark):
     assert rows == {("1", "allegati/1", "allegati/1/archivio/membri/3", 3)}
     assert sorted(r.f_nome for r in tables["allegati"].collect() if r.f_nome) == ["a", "solo"]
     assert tables["record"].count() == 2
+
+
+def test_children_query_has_every_level(spark, tmp_path):
+    from postmill.plans import records as plans
+
+    spark.createDataFrame(ROWS[:3], "id string, record string").write.parquet(f"{tmp_path}/messages.parquet")
+    rows = plans.QUERIES["p4_children"](spark, str(tmp_path)).collect()
+    got = {(r.id, r.table, r.parent_path, r.node_path, r.ordinal): json.loads(r.element) for r in rows}
+    assert {(i, path) for i, _, _, path, _ in got} == {(i, p) for i, v in (("1", DEEP), ("2", LONE)) for p in walk(v, [], set())}
+    assert len(rows) == len(got)
+    assert got["1", "allegati_archivio_membri_archivio_membri", "allegati/1/archivio/membri/3", "allegati/1/archivio/membri/3/archivio/membri/1", 1] == {"n": 2}
+    assert got["1", "daticert_destinatari", "", "daticert/destinatari/1", 1] == {"t": 1}
