@@ -443,12 +443,11 @@ def run_totals(spark: SparkSession, d: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The state table read as a stream, each content of a mailbox once; all there is now, then stop."""
     import os
-    import uuid
 
     from postmill.session import work_dir
     from postmill.streaming.ingest import unique
 
-    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = work_dir(spark, "stream")
     path = f"{d}/mail_state.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)

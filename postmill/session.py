@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,25 +25,46 @@ def local_session(app: str = "postmill", cores: int | None = None) -> SparkSessi
     )
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="postmill-work-")).rstrip("/")
+def _shared_dir(spark: SparkSession, what: str) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset a temporary one on one machine, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: executors need a shared folder")
+    return tempfile.mkdtemp(prefix=f"postmill-{what}-")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting and the context's own folder are both unset (tests on one machine)
-    a temporary folder is used.
-    """
-    spark = df.sparkSession
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's JVM ends."""
     sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder of this name in the shared folder, deleted when the driver ends."""
+    path = f"{_shared_dir(spark, 'work')}/{name}-{uuid.uuid4().hex}"
+    _forget_at_exit(spark, path)
+    return path
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint in the shared folder; the files are deleted when the driver ends."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "") or ""
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="postmill-ckpt-"))
+        sc.setCheckpointDir(_shared_dir(df.sparkSession, "ckpt"))
+        _forget_at_exit(df.sparkSession, sc._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=eager)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read back: lineage is cut, and later reads prune columns."""
+    path = work_dir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Repartition a scan only where it has fewer splits than the cluster has cores.
 
@@ -53,6 +75,12 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     return df if have >= want else df.repartition(want)
 
 
+def in_tasks(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
+    """Partitioned by the keys into a fixed number of tasks for a Python stage: merging partitions by size would leave few."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors import this package: once for each context, and only where PYTHONPATH does not already."""
     import shutil
