@@ -21,7 +21,7 @@ def fan_out(df: DataFrame, inputs: list[str], carry: list[str], outputs: dict[st
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_()}
+        types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
         kinds = [types[t] for t in outputs.values()]
         for whole in batches:
             for at in range(0, whole.num_rows, rows):

@@ -2,25 +2,30 @@
 
 Three steps:
 
-1. Inherited text. Messages of one thread (subject without reply marks) that share a fingerprint are
-   paired with the earliest holder of it; the holders' texts form a generalised suffix automaton, and
-   long matches of letters and digits, wherever the lines break, are marked as inherited.
-2. Structure. Quote marks, lines that introduce earlier mail, forwarded headers and all that hangs
-   on them. Most quoted mail is not in the archive, so the automaton alone cannot see it.
-3. Endings. Lines that recur at the end of one sender's messages, and lines made like a signature,
-   separator, device note or disclaimer, are stripped from the end of each own passage.
+1. Structure: quote marks, lines that introduce earlier mail, forwarded headers and all that hangs on
+   them. What is left are passages of lines that the sender may have written.
+2. Suffix automata. Messages that share a fingerprint of such passages form a thread; the earliest
+   holders are its sources, and a generalised suffix automaton over them marks long matches of letters
+   and digits wherever the lines break. A thread is either a conversation (most holders of the
+   fingerprint share their subject without reply marks; matches anywhere are inherited text) or a
+   recurring ending (most holders have it below their closing formula; matches are notes and
+   disclaimers, and count at the end of a passage).
+3. Endings: lines that recur at the end of the sender's or of many senders' messages, what the automata
+   marked, and lines made like a signature are stripped from the end of each passage.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.arrow import fan_out
-from postmill.session import checkpoint
+from postmill.session import in_tasks, stored
 
 # Words of the archive's languages around quoted mail.
 _REPLY = r"^(?:(?:r|re|i|fw|fwd|aw|wg|tr|rif|posta certificata|anomalia messaggio)\s*:\s*)+"
@@ -43,14 +48,6 @@ _CLOSE = re.compile(
     re.I,
 )
 _RULE = re.compile(r"^\s*(?:--\s*|[-_=*~#·•]{3,}|(?:[-_=*] ){3,}[-_=*]?)\s*$")
-_DEVICE = re.compile(
-    r"^(?:inviato\s+d(?:a|al|alla|all)\b|sent\s+from\b|get\s+outlook|von\s+(?:unterwegs|meinem)|gesendet\s+(?:von|mit)|envoyé\s+de|enviado\s+d|rispetta\s+(?:i\s+boschi|l'ambiente)|prima\s+di\s+stampare|please\s+consider\s+the\s+env)", re.I
-)
-_LEGALESE = re.compile(
-    r"(?:avviso\s+(?:di\s+riservatezza|legale)|le\s+informazioni\s+contenute\s+in\s+(?:questo|questa|il)|ai\s+sensi\s+della\s+normativa\s+sulla\s+(?:protezione|privacy)|this\s+(?:message|e-?mail)\s+(?:is\s+intended|and\s+any|may\s+contain|contains)"
-    r"|diese\s+(?:nachricht|e-?mail)\s+(?:ist\s+vertraulich|enthält)|ce\s+(?:message|courriel)\s+(?:est|et)\b|confidentiality\s+notice|disclaimer|vertraulichkeitshinweis)",
-    re.I,
-)
 _CONTACT = re.compile(
     r"^\W*(?:(?:tel|fax|cell|cel|mob|mobile|phone|t|m|f|tel/fax|tel\.\s*e\s*fax)\s*[.:/]*\s*(?:fax\s*[.:]?\s*)?[+(\d][\d\s()./+-]{5,}|[☎✆☏📞]\s*[+(\d]|(?:pec|mail|e-?mail|posta|web|sito)\s*:?\s*\S*(?:@|\[at\]|\(at\)|www|\s(?:\[at\]|\(at\)|chiocciola)\s)"
     r"|(?:https?://|www\.)\S+\s*$|p\.?\s?iva\b|c\.?f\.?\s*(?:e\s*p\.?\s?iva)?[\s:]+\w{8,}\s*$|part\w*\s+iva|vat\b|[\w.+-]+(?:@|\s?[\[(]at[\])]\s?|\schiocciola\s)[\w.-]+(?:\spunto\s[\w.-]+)*\s*$|[+(]?\d[\d\s()./+-]{7,}$)",
@@ -144,12 +141,12 @@ def letters(body: str) -> tuple[str, np.ndarray]:
     return "".join(text), np.concatenate(lines) if lines else np.zeros(0, np.int32)
 
 
-def fingerprints(text: str, k: int = 48, window: int = 32) -> list[int]:
-    """Winnowed hashes of the text's k-grams: every shared run of k + window - 1 characters shares one."""
+def fingerprint_places(text: str, k: int = 48, window: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed hashes of the text's k-grams and where they start: every shared run of k + window - 1 characters shares one."""
     data = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     n = len(data) - k + 1
     if n < 1:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     base, h, power = np.uint64(1099511628211), np.zeros(n, np.uint64), data.copy()
     with np.errstate(over="ignore"):
         # doubling: hashes of runs of length 1, 2, 4, ... combined to length k
@@ -168,14 +165,20 @@ def fingerprints(text: str, k: int = 48, window: int = 32) -> list[int]:
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     if n <= window:
-        return [int(np.int64(h.min().view(np.int64)))]
-    least = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
-    return np.unique(least).view(np.int64).tolist()
+        places = np.array([int(h.argmin())])
+    else:
+        places = np.unique(np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(n - window + 1))
+    return h[places].view(np.int64), places
+
+
+def fingerprints(text: str, k: int = 48, window: int = 32) -> list[int]:
+    """The distinct hashes of ``fingerprint_places``."""
+    return np.unique(fingerprint_places(text, k, window)[0]).tolist()
 
 
 def _like_ending(line: str, names: frozenset[str]) -> bool:
     s = line.strip()
-    if not s or _RULE.match(s) or _DEVICE.match(s) or _CONTACT.match(s) or _ROLE.match(s):
+    if not s or _RULE.match(s) or _CONTACT.match(s) or _ROLE.match(s):
         return True
     if (_STREET.match(s) or _STREET2.match(s)) and not _SENTENCE.search(s):
         return True
@@ -192,15 +195,8 @@ def _like_ending(line: str, names: frozenset[str]) -> bool:
     return bool(_NAME.match(bare)) and len(words) <= 4 and s[-1] != "." and not any(ch.isdigit() for ch in s) and not _CLOSE.match(s)
 
 
-def new_lines(body: str | None, sender: str | None = None, endings: frozenset[str] = frozenset(), inherited: frozenset[int] = frozenset()) -> list[int]:
-    """Numbers (from 1) of the lines, not blank, that the sender newly wrote.
-
-    ``sender`` is the display name and address; ``endings`` are forms of lines (see ``form``) that
-    recur at the end of this sender's messages; ``inherited`` are line indexes (from 0) marked by the
-    automaton.
-    """
-    if not body or not body.strip():
-        return []
+def structure(body: str) -> tuple[list[str], list[bool]]:
+    """The body's lines, and which of them no quote mark, introduction or forwarded header takes from the sender."""
     lines = body.split("\n")
     n = len(lines)
     own = [True] * n
@@ -217,10 +213,7 @@ def new_lines(body: str | None, sender: str | None = None, endings: frozenset[st
         if not s:
             k += 1
             continue
-        if _CUT.match(s):
-            own[k:] = [False] * (n - k)
-            break
-        if _FROM.match(s) and any(_HEAD.match(lines[j].strip()) for j in range(k + 1, min(n, k + 3))):
+        if _CUT.match(s) or (_FROM.match(s) and any(_HEAD.match(lines[j].strip()) for j in range(k + 1, min(n, k + 3)))):
             own[k:] = [False] * (n - k)
             break
         size = 0
@@ -245,21 +238,59 @@ def new_lines(body: str | None, sender: str | None = None, endings: frozenset[st
             own[k:] = [False] * (n - k)
             break
         k += 1
+    return lines, own
+
+
+def _passages(own: Iterable[bool]) -> list[tuple[int, int]]:
+    """[start, end) of each run of own lines."""
+    out: list[tuple[int, int]] = []
+    for k, mine in enumerate(own):
+        if mine and out and out[-1][1] == k:
+            out[-1] = (out[-1][0], k + 1)
+        elif mine:
+            out.append((k, k + 1))
+    return out
+
+
+def _closing(line: str) -> bool:
+    s = line.strip()
+    return len(s) <= 70 and bool(_CLOSE.match(s))
+
+
+def zones(lines: list[str], a: int, b: int) -> list[int]:
+    """For each line of a passage: 2 below its closing formula, or else its first separator, and 0 above
+    it; if it has neither, 1 in its last paragraph and -1 above that."""
+    end = next((k for k in range(b - 1, a - 1, -1) if lines[k].strip() and not _RULE.match(lines[k])), a)
+    last = max((k for k in range(a, b) if _closing(lines[k])), default=-1)
+    if last < 0:
+        last = next((k for k in range(a, end) if _RULE.match(lines[k])), -1)
+    if last >= 0:
+        return [2 if k > last else 0 for k in range(a, b)]
+    last = next((k for k in range(end, a - 1, -1) if not lines[k].strip()), a - 1)
+    return [1 if k > last else -1 for k in range(a, b)]
+
+
+def new_lines(body: str | None, sender: str | None = None, endings: frozenset[int] = frozenset(), inherited: frozenset[int] = frozenset(), noted: frozenset[int] = frozenset()) -> list[int]:
+    """Numbers (from 1) of the lines, not blank, that the sender newly wrote.
+
+    ``sender`` is the display name and address; ``endings`` are hashed forms of lines (see ``form``) that
+    recur at the end of messages; ``inherited`` and ``noted`` are line indexes (from 0) marked by the
+    automata: inherited text, and recurring notes, which count at the end of a passage only.
+    """
+    if not body or not body.strip():
+        return []
+    lines, own = structure(body)
+    return _finish(lines, own, sender, endings, inherited, noted)
+
+
+def _finish(lines: list[str], own: list[bool], sender: str | None, endings: frozenset[int], inherited: frozenset[int], noted: frozenset[int]) -> list[int]:
+    n = len(lines)
     for j in inherited:
         if 0 <= j < n:
             own[j] = False
     names = frozenset(w for w in re.findall(r"[^\W\d_]+", (sender or "").lower()) if len(w) > 1)
-    # each passage of own lines is cut at its ending
-    k = 0
-    while k < n:
-        if not own[k]:
-            k += 1
-            continue
-        end = k
-        while end < n and own[end]:
-            end += 1
-        _strip_ending(lines, own, k, end, names, endings)
-        k = end
+    for a, b in _passages(own):
+        _strip_ending(lines, own, a, b, names, [k in noted or (bool(endings) and form(lines[k]) in endings) for k in range(a, b)])
     return [k + 1 for k in range(n) if own[k] and lines[k].strip()]
 
 
@@ -268,138 +299,205 @@ def _trap(line: str) -> bool:
     return bool(re.match(r"^\s*>\s?\d+\s[^\W\d_]", line))
 
 
-def _strip_ending(lines: list[str], own: list[bool], a: int, b: int, names: frozenset[str], endings: frozenset[str]) -> None:
-    # disclaimers run to the end of their paragraph
-    legal = [False] * (b - a)
-    k = a
-    while k < b:
-        if _LEGALESE.search(lines[k][:120]) and _LEGALESE.match(lines[k].strip()):
-            j = k
-            while j < b and lines[j].strip():
-                legal[j - a] = True
-                j += 1
-            k = j
-        else:
-            k += 1
-    closes = [k for k in range(a, b) if _CLOSE.match(lines[k].strip()) and len(lines[k].strip()) <= 70]
+def _strip_ending(lines: list[str], own: list[bool], a: int, b: int, names: frozenset[str], recurs: list[bool]) -> None:
+    """Take the ending of the passage [a, b) from its sender; ``recurs`` says which lines are known to recur at ends."""
+    ends = lambda k: recurs[k - a] or _like_ending(lines[k], names)
+    closes = [k for k in range(a, b) if _closing(lines[k])]
     start = b
-    # upward: while lines are made like an ending, or recur at this sender's ends
-    while start > a:
-        k = start - 1
-        line = lines[k]
-        if legal[k - a] or not line.strip() or _like_ending(line, names) or (form(line) in endings and not _SENTENCE.search(line)):
-            start = k
-        elif re.match(r"^(?:all'ambiente|di cancellarlo|necessario|error please|bestimmt)\b", line.strip()):
-            start = k
-        else:
-            break
+    # upward: while lines are blank, made like an ending, or recur at ends
+    while start > a and (not lines[start - 1].strip() or ends(start - 1)):
+        start -= 1
+    # a separator right below a closing formula opens the signature
+    for c in closes[-1:]:
+        below = next((k for k in range(c + 1, b) if lines[k].strip()), b)
+        if below < b and _RULE.match(lines[below]):
+            start = min(start, below)
     # a signature separator with little below it, half of it like an ending, opens the ending
     for k in range(max(a, start - 12), start):
         if _RULE.match(lines[k]):
-            below = [x for x in lines[k + 1 : start] if x.strip()]
-            if below and len(below) <= 9 and 2 * sum(_after_close(x, names, endings) for x in below) >= len(below) and all(len(x) <= 110 for x in below):
+            below = [j for j in range(k + 1, start) if lines[j].strip()]
+            if below and len(below) <= 9 and 2 * sum(ends(j) for j in below) >= len(below) and all(len(lines[j]) <= 110 for j in below):
                 start = k
                 break
     # a greeting alone above the ending, or text of one line made like a name, is no ending
     stop = start
-    for c in reversed(closes):
-        after = [k for k in range(c + 1, b) if lines[k].strip()]
-        if all(legal[k - a] or k >= start or _after_close(lines[k], names, endings) for k in after):
-            stop = min(stop, c + 1)
-        break
-    k = stop
-    while k < b:
-        if lines[k].strip() and not (_CLOSE.match(lines[k].strip()) and k < start):
+    if closes and all(k >= start or ends(k) for k in range(closes[-1] + 1, b) if lines[k].strip()):
+        stop = min(stop, closes[-1] + 1)
+    for k in range(stop, b):
+        if lines[k].strip() and not (_closing(lines[k]) and k < start):
             own[k] = False
-        k += 1
     # what has no closing formula: the first line of a passage stays if it is a greeting
     first = next((k for k in range(a, b) if lines[k].strip()), b)
     if first < b and not own[first] and re.match(r"^(?:ciao|salve|buon\w+|gentil\w+|spett|egregi\w+|dear|hello|guten|sehr|bonjour|madame|per\s+conoscenza|alla\s+cortese)", lines[first].strip(), re.I):
         own[first] = True
 
 
-def _after_close(line: str, names: frozenset[str], endings: frozenset[str]) -> bool:
-    return _like_ending(line, names) or form(line) in endings
+def form(line: str) -> int:
+    """A line as it is compared between messages, hashed: spaces closed up, digits as 0, lower case."""
+    bare = re.sub(r"\d", "0", " ".join(line.split())).lower()
+    return int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def form(line: str) -> str:
-    """A line as it is compared between messages: spaces closed up, digits as 0, lower case."""
-    return re.sub(r"\d", "0", " ".join(line.split())).lower()
-
-
-def _tail(body: str | None, n: int = 14) -> list[str]:
-    """Forms of the last own lines of a body, by structure alone."""
-    if not body:
-        return []
-    lines = body.split("\n")
-    own, k = [], 0
-    for line in lines:
-        s = line.strip()
-        if _MARK.match(line) or _CUT.match(s) or _INTRO.match(s) or _OPENS.match(s) or _FROM.match(s):
-            break
-        if s:
-            own.append(s)
-    return sorted({form(x) for x in own[-n:] if len(x) <= 90 and not _CLOSE.match(x)})
+K, WINDOW = 24, 25  # every shared run of 48 letters is met; shorter lines are compared by their forms
 
 
-def inherited_lines(bodies: DataFrame, marks: DataFrame, least: int = 160) -> DataFrame:
-    """(key, inherited): line indexes (from 0) that repeat ``least`` letters of an earlier message of the thread.
+def reduced(df: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+    """One row for each body: its own lines by structure with their zones and forms, and their fingerprints.
 
-    ``bodies`` has key and body, ``marks`` key, subject and at (a sortable time). A thread is never
-    gathered: each fingerprint keeps its earliest holder, and a message meets only the holders of its own
-    fingerprints. Only texts of threads with several messages are read for fingerprints.
+    ``df`` has key, subject, sender, body. Columns: key, sender, who (address), thread (hash of the
+    subject without reply marks), n (all lines), at_line, own, zone and forms (of each own line, blank
+    ones too), fp and fp_zone.
     """
-    threaded = marks.select("key", reply_key(F.col("subject")).alias("thread"), "at").where(F.col("thread").isNotNull())
-    sizes = threaded.groupBy("thread").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("thread")
-    shared = checkpoint(bodies.join(threaded.join(sizes, "thread", "left_semi"), "key").where(F.length("body") >= least))
-    fps = fan_out(shared, ["body"], ["thread", "key", "at"], {"fp": "long"}, lambda body: [(x,) for x in fingerprints(letters(body)[0])])
-    first = fps.groupBy("thread", "fp").agg(F.min(F.struct(F.coalesce("at", F.lit("")).alias("at"), "key")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    hits = fps.join(first, ["thread", "fp"]).where(F.col("first.key") != F.col("key")).where(F.col("first.at") < F.coalesce("at", F.lit("")))
-    pairs = hits.select("key", F.col("first.key").alias("source")).distinct()
-    # both sides of a pair are among the shared texts
-    texts = shared.select(F.col("key").alias("source"), F.col("body").alias("source_body"))
-    sourced = pairs.join(texts, "source").groupBy("key").agg(F.collect_list("source_body").alias("sources")).join(shared.select("key", "body"), "key")
-
-    def mark(body: str, sources: list[str]) -> list[tuple[list[int]]]:
-        text, at = letters(body)
-        full = np.bincount(at, minlength=1)
-        found: set[int] = set()
-        for s, e in SuffixAutomaton([letters(x)[0] for x in sources]).matches(text, least):
-            ids, counts = np.unique(at[s:e], return_counts=True)
-            found |= {int(i) for i, c in zip(ids, counts, strict=True) if c >= 0.8 * full[i]}
-        return [(sorted(found),)]
-
-    return fan_out(sourced, ["body", "sources"], ["key"], {"inherited": "array<int>"}, mark)
-
-
-def recurring_endings(df: DataFrame, times: int = 2, salts: int = 16) -> DataFrame:
-    """(key, endings): forms of a message's last lines that recur at the end of its sender's messages."""
+
+    def make(body: str) -> list[tuple]:
+        lines, mine = structure(body)
+        at, zone = [], []
+        for a, b in _passages(mine):
+            at += range(a, b)
+            zone += zones(lines, a, b)
+        kept = [lines[i] for i in at]
+        text, where = letters("\n".join(kept)) if kept else ("", np.zeros(0, np.int32))
+        fps, places = fingerprint_places(text, k, window)
+        fps, first = np.unique(fps, return_index=True)
+        of = np.asarray(zone, np.int32)[where[places[first]]] if len(fps) else np.zeros(0, np.int32)
+        size = np.bincount(where, minlength=len(kept))
+        # a longer line is for the automata
+        forms = [form(x) if x.strip() and not _closing(x) and size[i] < k + window - 1 else None for i, x in enumerate(kept)]
+        return [(len(lines), at, kept, zone, forms, fps.tolist(), of.tolist())]
 
     who = F.regexp_extract(F.lower(F.col("sender")), r"(\S+@\S+)\s*$", 1)
-    named = df.select("key", F.when(who != "", who).alias("who"), "body").where(F.col("who").isNotNull() & F.col("body").isNotNull())
-    lines = fan_out(named, ["body"], ["key", "who"], {"form": "string"}, lambda body: [(x,) for x in _tail(body)])
-    often = lines.groupBy("who", "form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= times).select("who", "form", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    # a sender with a third of all mail shares its endings: the salt spreads them over the tasks
-    met = lines.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(often, ["who", "form", "salt"])
+    heads = df.select("key", "sender", F.when(who != "", who).alias("who"), F.xxhash64(reply_key(F.col("subject"))).alias("h"), reply_key(F.col("subject")).isNotNull().alias("replied"), "body")
+    heads = heads.withColumn("thread", F.when(F.col("replied"), F.col("h"))).drop("h", "replied")
+    outputs = {"n": "int", "at_line": "array<int>", "own": "array<string>", "zone": "array<int>", "forms": "array<long>", "fp": "array<long>", "fp_zone": "array<int>"}
+    return fan_out(heads, ["body"], ["key", "sender", "who", "thread"], outputs, make)
+
+
+_ENDS = 0.8  # share of a line's or run's messages that must have it below their closing formula
+
+
+def recurring_endings(texts: DataFrame, salts: int = 16) -> DataFrame:
+    """(key, endings): forms of a message's lines, too short for a fingerprint, that recur at the end of messages.
+
+    For the sender: in two of its messages or more, mostly at the end. For all mail: in three or more
+    messages of two or more senders, mostly below the closing formula.
+    """
+    lines = texts.select("key", "who", F.explode(F.arrays_zip("forms", "zone")).alias("x")).select("key", "who", F.col("x.forms").alias("form"), F.col("x.zone").alias("zone")).where(F.col("form").isNotNull())
+    lines = lines.groupBy("key", "who", "form").agg(F.max("zone").alias("zone"))
+    low, high = F.count_if(F.col("zone") == 0), F.count_if(F.col("zone") == 2)
+    by = lines.groupBy("who", "form").agg(low.alias("low"), high.alias("high"), F.count_if(F.col("zone") > 0).alias("ended"), F.count(F.lit(1)).alias("n"))
+    ended = F.col("ended")
+    sender = by.where(F.col("who").isNotNull() & (ended >= 2) & (ended >= _ENDS * F.col("n"))).select("who", "form")
+    everyone = by.groupBy("form").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.count(F.lit(1)).alias("senders"))
+    everyone = everyone.where((F.col("high") >= 3) & (F.col("senders") >= 2) & (F.col("high") >= _ENDS * (F.col("low") + F.col("high")))).select("form")
+    # a sender with a third of all mail, or a note in a third of it: the salt spreads them over the tasks
+    salted = lines.where(F.col("zone") != 0).select("key", "who", "form").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    met = salted.join(sender.select("who", "form", spread), ["who", "form", "salt"]).select("key", "form")
+    met = met.union(salted.join(everyone.select("form", spread), ["form", "salt"]).select("key", "form"))
     return met.groupBy("key").agg(F.collect_set("form").alias("endings"))
 
 
-def own_lines(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = None) -> DataFrame:
+def meetings(texts: DataFrame, times: DataFrame, salts: int = 8) -> DataFrame:
+    """(kind, part, source, key): which messages meet which sources in one automaton.
+
+    ``times`` has key and at. A fingerprint belongs to the conversation that holds more than half of its
+    messages, or is an ending where most holders have it below their closing formula. The earliest holder
+    is the source; the last one is the source of the earliest where it is an ending. A conversation with
+    many sources is cut into parts of about 16.
+    """
+    hits = texts.select("key", "thread", F.explode(F.arrays_zip("fp", "fp_zone")).alias("x")).select("key", "thread", F.col("x.fp").alias("fp"), F.col("x.fp_zone").alias("zone"))
+    by = hits.groupBy("fp", "thread").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("zone") == 0).alias("low"), F.count_if(F.col("zone") == 2).alias("high"))
+    most = F.max_by(F.when(F.col("thread").isNotNull(), F.struct("thread", "n")), F.when(F.col("thread").isNotNull(), F.col("n"))).alias("most")
+    all_of = by.groupBy("fp").agg(F.sum("n").alias("n"), F.sum("low").alias("low"), F.sum("high").alias("high"), most)
+    ending = (F.col("high") >= 2) & (F.col("high") >= _ENDS * (F.col("low") + F.col("high")))
+    talk = ~ending & (F.col("most.n") >= 2) & (2 * F.col("most.n") > F.col("n"))
+    kinds = all_of.where((F.col("n") > 1) & (ending | talk)).select("fp", F.when(ending, "note").otherwise("talk").alias("kind"), F.when(talk, F.col("most.thread")).alias("of"))
+    # a note in a third of all mail is one fingerprint: the salt spreads it over the tasks
+    kinds = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = hits.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(kinds, ["fp", "salt"])
+    held = held.where(F.when(F.col("kind") == "note", F.col("zone") != 0).otherwise(F.col("thread") == F.col("of")))
+    held = held.select("kind", "of", "fp", "zone", "key").join(times, "key", "left").withColumn("when", F.struct(F.coalesce("at", F.lit("")).alias("at"), "key"))
+    held = stored(held.select("kind", "of", "fp", "zone", "key", "when"))
+    sound = F.when((F.col("kind") == "talk") | (F.col("zone") == 2), F.col("when"))
+    ends = held.groupBy("fp").agg(F.min(sound).alias("first"), F.max(sound).alias("last"))
+    ends = ends.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(ends, ["fp", "salt"])
+    later = F.col("when.at") > F.col("first.at")
+    source = F.when(F.col("kind") == "talk", F.when(later, F.col("first.key"))).otherwise(F.when(F.col("first.key") != F.col("key"), F.col("first.key")).otherwise(F.col("last.key")))
+    pairs = both.select("kind", "of", source.alias("source"), "key").where(F.col("source").isNotNull() & (F.col("source") != F.col("key"))).distinct()
+    sizes = pairs.where(F.col("kind") == "talk").groupBy("of").agg(F.ceil(F.approx_count_distinct("source") / 16).alias("parts"))
+    cut = pairs.join(sizes, "of", "left")
+    part = F.when(F.col("kind") == "note", F.xxhash64("source")).otherwise(F.xxhash64("of", F.pmod(F.xxhash64("source"), F.coalesce("parts", F.lit(1)))))
+    return cut.select("kind", part.alias("part"), "source", "key")
+
+
+def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note: int = 40, members: int = 256) -> DataFrame:
+    """(key, inherited, noted): line indexes (from 0) that the automata mark.
+
+    One generalised suffix automaton for each part of a thread, over its sources; about ``members``
+    messages are matched beside it in one group, so that a part held by a third of all mail is many
+    groups. ``least`` and ``least_note`` are the letters from which a match counts.
+    """
+    met = stored(met)
+    sources = met.select("kind", "part", F.col("source").alias("key")).distinct()
+    readers = met.select("kind", "part", "key").distinct()
+    groups = readers.groupBy("kind", "part").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("groups"))
+    readers = readers.join(groups, ["kind", "part"]).select("kind", "part", "key", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("source"))
+    sources = sources.join(groups, ["kind", "part"]).select("kind", "part", "key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("source"))
+    full = sources.union(readers).join(texts.select("key", "at_line", "own", "zone"), "key")
+
+    def run(group):
+        import pandas as pd
+
+        note = group["kind"].iloc[0] == "note"
+        short = least_note if note else least
+        strings, todo = [], []
+        for key, source, at, own, zone in zip(group["key"], group["source"], group["at_line"], group["own"], group["zone"], strict=True):
+            # a source of notes gives what is below its closing formula, a reader what may be an ending
+            use = [i for i in range(len(own)) if not note or (zone[i] == 2 if source else zone[i] != 0)]
+            text, where = letters("\n".join(own[i] for i in use))
+            if source:
+                strings.append(text)
+            else:
+                todo.append((key, text, where, [int(at[i]) for i in use]))
+        automaton = SuffixAutomaton(strings)
+        out = []
+        for key, text, where, at in todo:
+            full = np.bincount(where, minlength=1)
+            for s, e in automaton.matches(text, short):
+                ids, counts = np.unique(where[s:e], return_counts=True)
+                out += [(key, note, at[i]) for i, c in zip(ids.tolist(), counts.tolist(), strict=True) if c >= 0.8 * full[i]]
+        return pd.DataFrame(out, columns=["key", "note", "line"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    lines = in_tasks(full, "kind", "part", "salt").groupBy("kind", "part", "salt").applyInPandas(run, f"key {kind}, note boolean, line int")
+    return lines.groupBy("key").agg(F.collect_set(F.when(~F.col("note"), F.col("line"))).alias("inherited"), F.collect_set(F.when(F.col("note"), F.col("line"))).alias("noted"))
+
+
+def own_lines(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = None, automata: bool = True, recurrence: bool = True) -> DataFrame:
     """(key, line_no) of each line, not blank, that the message's sender newly wrote.
 
     ``df`` has the key (unique), subject, sender and body; ``dates`` has the key and ``at``, or ``df``
-    has ``at`` itself. Texts meet dates only as keys, so that they are not shuffled for them. Null and
-    blank bodies have no line; null subjects, senders and dates only lose what these would tell.
+    has ``at`` itself. Bodies are read once; what is kept of them are the lines that structure leaves to
+    the sender. Null and blank bodies have no line; null subjects, senders and dates only lose what these
+    would tell. ``automata`` and ``recurrence`` switch the steps off, to measure what they do.
     """
-    bodies = df.select(F.col(key).alias("key"), F.col("body").cast("string").alias("body")).where(F.length("body") > 0)
-    heads = df.select(F.col(key).alias("key"), F.col("subject").cast("string").alias("subject"))
+    named = df.select(F.col(key).alias("key"), *[F.col(c).cast("string").alias(c) for c in ("subject", "sender", "body")])
+    texts = stored(reduced(named.where(F.length("body") > 0)))
     times = (df if dates is None else dates).select(F.col(key).alias("key"), F.col("at").cast("string").alias("at"))
-    inherited = inherited_lines(bodies, heads.join(times, "key", "left"))
-    sent = df.select(F.col(key).alias("key"), F.col("sender").cast("string").alias("sender"), F.col("body").cast("string").alias("body")).where(F.length("body") > 0)
-    full = sent.join(inherited, "key", "left").join(recurring_endings(sent), "key", "left")
-
-    def run(body: str, sender: str | None, endings: list[str] | None, inherited: list[int] | None) -> list[tuple[int]]:
-        return [(k,) for k in new_lines(body, sender, frozenset(endings or ()), frozenset(inherited or ()))]
-
-    lines = fan_out(full.select("key", "body", "sender", "endings", "inherited"), ["body", "sender", "endings", "inherited"], ["key"], {"line_no": "int"}, run)
+    full = in_tasks(texts.select("key", "sender", "n", "at_line", "own"), "key")
+    if recurrence:
+        full = full.join(recurring_endings(texts), "key", "left")
+    if automata:
+        full = full.join(marked_lines(texts, meetings(texts, times)), "key", "left")
+    for c, kind in (("endings", "array<bigint>"), ("inherited", "array<int>"), ("noted", "array<int>")):
+        full = full if c in full.columns else full.withColumn(c, F.lit(None).cast(kind))
+
+    def run(n: int, at: list[int], kept: list[str], sender: str | None, endings: list[int] | None, inherited: list[int] | None, noted: list[int] | None) -> list[tuple[int]]:
+        lines, own = [""] * n, [False] * n
+        for i, line in zip(at, kept, strict=True):
+            lines[i], own[i] = line, True
+        return [(k,) for k in _finish(lines, own, sender, frozenset(endings or ()), frozenset(inherited or ()), frozenset(noted or ()))]
+
+    lines = fan_out(full, ["n", "at_line", "own", "sender", "endings", "inherited", "noted"], ["key"], {"line_no": "int"}, run)
     return lines.select(F.col("key").alias(key), "line_no")
