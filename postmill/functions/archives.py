@@ -39,7 +39,7 @@ class Budget:
         self.size += n
         if self.size > self.total:
             self.stop = "total"
-        elif self.packed and self.size > 65536 and self.size / self.packed > self.ratio:
+        elif self.size / max(1, self.packed) > self.ratio:
             self.stop = "ratio"
         return not self.stop
 
@@ -107,7 +107,7 @@ def _entries(name: str, data: bytes, kind: str, budget: Budget) -> Iterator[tupl
 
 
 def members(name: str | None, data: bytes | None, budget: Budget | None = None, level: int = 0, path: str = "") -> Iterator[dict]:
-    """One dict for each leaf of the tree: path, declared, size, status, depth; containers are opened, not listed.
+    """One dict for each leaf of the tree: path, declared, size, status, depth, data; containers are opened, not listed.
 
     ``declared`` is data and never used as a path. Never raises: a broken archive is one row ``corrupt``.
     """
@@ -115,7 +115,7 @@ def members(name: str | None, data: bytes | None, budget: Budget | None = None,
     kind = kind_of(name or "", data)
     budget = budget or Budget(len(data))
     if kind in ("", "opaque"):
-        yield {"path": path or "1", "declared": name, "size": len(data), "status": "opaque" if kind else "ok", "depth": level}
+        yield {"path": path or "1", "declared": name, "size": len(data), "status": "opaque" if kind else "ok", "depth": level, "data": data}
         return
     if level >= budget.depth:
         yield {"path": path or "1", "declared": name, "size": len(data), "status": "depth", "depth": level}
@@ -128,7 +128,7 @@ def members(name: str | None, data: bytes | None, budget: Budget | None = None,
             elif kind_of(inner, payload) not in ("", "opaque") and not inner.lower().endswith(OFFICE):
                 yield from members(inner, payload, budget, level + 1, at)
             else:
-                yield {"path": at, "declared": inner, "size": len(payload), "status": "opaque" if kind_of(inner, payload) == "opaque" else "ok", "depth": level + 1}
+                yield {"path": at, "declared": inner, "size": len(payload), "status": "opaque" if kind_of(inner, payload) == "opaque" else "ok", "depth": level + 1, "data": payload}
             if budget.stop:
                 return
     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, RuntimeError, NotImplementedError, ValueError) as e:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -43,16 +44,30 @@ def _mail(data: bytes) -> str:
 
 
 def _archive(name: str, data: bytes, limits: Limits) -> tuple[str, str]:
+    """Each member's text under its declared name, with a note where it gives none; the status tells what stopped the reading."""
     leaves = list(archives.members(name, data))
     states = {m["status"].split(":")[0] for m in leaves}
-    listing = "\n".join(m["declared"] or "" for m in leaves)
     if states <= {"opaque"} and len(leaves) == 1:
         return "", "unsupported_archive"
+    sections, read = [], False
+    for m in leaves:
+        label, why = m["declared"] or m["path"], m["status"]
+        if why.startswith("corrupt"):
+            continue
+        if why == "ok":
+            got = text_of(m["declared"], mimetypes.guess_type(m["declared"] or "")[0], m["data"], limits)
+            read, why = read or bool(got["text"]), got["status"]
+            if got["text"]:
+                sections.append(f"=== {label} ===\n{got['text']}")
+                continue
+        sections.append(f"=== {label} === [non trattato: {why}]")
     if states & {"ratio", "total", "entries", "depth", "member_limit"}:
-        return listing, "archive_limit"
-    if states == {"encrypted"}:
-        return listing, "encrypted"
-    return listing, "failed" if states == {"corrupt"} else "ok"
+        status = "archive_limit"
+    elif "encrypted" in states and not read:
+        status = "encrypted"
+    else:
+        status = "failed" if "corrupt" in states and not read else "ok"
+    return "\n\n".join(sections), status
 
 
 #: endings and content type parts by the method that reads them. Fixed values.

@@ -38,6 +38,32 @@ def extension(name: Column) -> Column:
     return F.when(F.size(s) > 0, F.element_at(s, -1)).otherwise(F.lit(""))
 
 
+def last_extension(name: Column) -> Column:
+    """What follows the last dot of the whole name, lower case, empty where there is none."""
+    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
+
+
+#: methods that read pictures, statuses and endings of archives that stay closed. Fixed values.
+OCR_METHODS = ("image_ocr", "pdf_ocr")
+OPAQUE_STATUSES = ("unsupported_archive", "encrypted", "archive_limit")
+ARCHIVE_ENDINGS = ("zip", "rar", "7z", "gz", "tgz", "bz2", "xz", "cab", "iso", "img", "arj", "lzh", "ace")
+
+
+def attachment_flags(name: Column, method: Column, status: Column, chars: Column, archive: Column | None = None) -> Column:
+    """STRUCT is_ocr, has_text, is_archive, extension, opaque, packed of an attachment row; nulls count as empty.
+
+    ``opaque`` could not be opened, ``packed`` is any other archive.
+    """
+    ext = last_extension(F.coalesce(name, F.lit("")))
+    opened = archive.isNotNull() if archive is not None else F.lit(False)
+    state = F.coalesce(status, F.lit(""))
+    return F.struct(
+        F.coalesce(method, F.lit("")).isin(*OCR_METHODS).alias("is_ocr"), (F.coalesce(chars, F.lit(0)) > 0).alias("has_text"),
+        (opened | (state == "unsupported_archive")).alias("is_archive"), ext.alias("extension"),
+        state.isin(*OPAQUE_STATUSES).alias("opaque"), (~state.isin(*OPAQUE_STATUSES) & (opened | ext.isin(*ARCHIVE_ENDINGS))).alias("packed"),
+    )
+
+
 def active_name(name: Column, extra: tuple[str, ...] = ()) -> Column:
     """Whether any ending declares something that runs."""
     return F.arrays_overlap(suffixes(name), F.array(*[F.lit(x) for x in (*ACTIVE, *extra)]))
@@ -47,7 +73,7 @@ def sniff(data: Column) -> Column:
     """The kind that the first bytes show, empty where unknown or null; a PDF mark counts in the first 512 bytes."""
     head = F.hex(F.substring(data, 1, 512))
     kind = F.when(F.coalesce(F.length(data), F.lit(0)) == 0, F.lit(""))
-    kind = kind.when(head.startswith("25504446") | (F.pmod(F.instr(head, "255044462D"), F.lit(2)) == 1), F.lit("pdf"))
+    kind = kind.when(head.startswith("25504446") | head.rlike("^(?:..)*?255044462D"), F.lit("pdf"))
     for name, magic in MAGIC[1:]:
         kind = kind.when(head.startswith(magic), F.lit(name))
     return kind.otherwise(F.lit(""))

@@ -8,6 +8,7 @@ import email.header
 import email.policy
 import email.utils
 import hashlib
+import html
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -71,60 +72,59 @@ def tidy(text: str) -> str:
     return unicodedata.normalize("NFC", re.sub(r"\n{3,}", "\n\n", text)).strip()
 
 
-class _Reader(HTMLParser):
-    """Collects readable text. Elements without content never open a skipped region."""
+# Elements without readable content, and those that begin or end a line.
+HIDDEN = frozenset("script style head title noscript".split())
+LINES = frozenset("p div br tr table ul ol h1 h2 h3 h4 h5 h6 blockquote section article header footer pre hr form fieldset dl dt dd".split())
+#: element to the text (before, after) its content; links are the one thing that depends on an attribute
+AROUND = {**dict.fromkeys(LINES, ("\n", "\n")), "li": ("\n- ", ""), "td": ("\t", ""), "th": ("\t", "")}
+#: beginnings of targets that say nothing to a reader. Fixed values.
+EMPTY_TARGETS = ("javascript:", "#", "cid:")
+
 
-    # Elements without readable content, and those that begin or end a line.
-    hidden = frozenset("script style head title noscript".split())
-    lines = frozenset("p div br tr table ul ol h1 h2 h3 h4 h5 h6 blockquote section article header footer pre hr form fieldset dl dt dd".split())
+class _Reader(HTMLParser):
+    """Writes the text of a page; ``muted`` holds the open elements whose content is not read."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip: list[str] = []
-        self.links: list[str] = []
+        self.muted: list[str] = []
+        self.targets: list[str] = []
+
+    def _write(self, text: str) -> None:
+        if not self.muted:
+            self.out.append(text)
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.hidden:
-            self.skip.append(tag)
-        elif tag == "body":
-            self.skip.clear()
-        elif not self.skip:
-            if tag == "li":
-                self.out.append("\n- ")
-            elif tag in ("td", "th"):
-                self.out.append("\t")
-            elif tag in self.lines:
-                self.out.append("\n")
-            elif tag == "a":
-                target = dict(attrs).get("href") or ""
-                self.links.append("" if target.lower().startswith(("javascript:", "#", "cid:")) else target)
+        if tag == "body":  # an unclosed head ends here
+            self.muted = []
+        if tag in HIDDEN:
+            self.muted.append(tag)
+        self._write(AROUND.get(tag, ("", ""))[0])
+        if tag == "a" and not self.muted:
+            self.targets.append(dict(attrs).get("href") or "")
 
     def handle_startendtag(self, tag, attrs):
-        if not self.skip and tag in self.lines:
-            self.out.append("\n")
+        self._write("\n" if tag in LINES else "")
 
     def handle_endtag(self, tag):
-        if tag in self.hidden:
-            if tag in self.skip:
-                del self.skip[self.skip.index(tag) :]
-        elif not self.skip:
-            if tag == "a" and self.links and (target := self.links.pop()):
-                self.out.append(f" <{target}>")
-            elif tag in self.lines:
-                self.out.append("\n")
+        if tag in HIDDEN:
+            self.muted = self.muted[: self.muted.index(tag)] if tag in self.muted else self.muted
+            return
+        if tag == "a" and self.targets and not self.muted:
+            target = self.targets.pop()
+            self._write(f" <{target}>" if target and not target.lower().startswith(EMPTY_TARGETS) else "")
+        self._write(AROUND.get(tag, ("", ""))[1])
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data)
+        self._write(data)
 
 
-def html_text(html: str | None) -> str:
+def html_text(page: str | None) -> str:
     """Readable text of an HTML page; null and empty give an empty text."""
-    if not html:
+    if not page:
         return ""
     reader = _Reader()
-    reader.feed(html)
+    reader.feed(page)
     reader.close()
     return tidy("".join(reader.out))
 
@@ -139,7 +139,9 @@ MESSAGE = StructType([
     StructField("message_id", StringType()), StructField("subject", StringType()), StructField("date", StringType()), StructField("from", _ADDRESS), StructField("to", ArrayType(_ADDRESS)), StructField("cc", ArrayType(_ADDRESS)),
     StructField("transport", StringType()), StructField("receipt", StringType()), StructField("declared", StringType()), StructField("ref_message_id", StringType()), StructField("body", StringType()), StructField("body_source", StringType()),
     StructField("attachments", ArrayType(StructType([StructField("name", StringType()), StructField("content_type", StringType()), StructField("size", LongType()), StructField("sha256", StringType()), StructField("inline", BooleanType()), StructField("payload", BinaryType())]))),
-    StructField("enveloped", BooleanType()), StructField("flags", ArrayType(StringType())),
+    StructField("enveloped", BooleanType()), StructField("sent_at", LongType()), StructField("envelope_subject", StringType()), StructField("reply_to", ArrayType(_ADDRESS)),
+    StructField("certificate", StructType([StructField(k, StringType()) for k in ("tipo", "errore", "mittente", "oggetto", "gestore", "giorno", "ora", "zona", "identificativo", "msgid", "errore_esteso")])),
+    StructField("flags", ArrayType(StringType())),
 ])
 
 
@@ -149,54 +151,90 @@ def _payload(part) -> bytes:
     return part.get_payload(decode=True) or b""
 
 
-def _certified(xml: bytes) -> dict[str, str]:
-    """The fields of the certificate part; a document type or entity makes it unread."""
+#: fields of the certificate by where they stand: an attribute of an element, or an element's text. Fixed values.
+CERTIFICATE = {
+    "tipo": ("postacert", "tipo"), "errore": ("postacert", "errore"), "mittente": ("mittente", None), "oggetto": ("oggetto", None), "gestore": ("gestore-emittente", None), "giorno": ("giorno", None), "ora": ("ora", None),
+    "zona": ("data", "zona"), "identificativo": ("identificativo", None), "msgid": ("msgid", None), "errore_esteso": ("errore-esteso", None),
+}
+
+
+def certificate(xml: bytes) -> dict[str, str] | None:
+    """The fields of the certificate part; null where it cannot be read or declares a document type or entity.
+
+    A damaged certificate is searched for the same fields by pattern.
+    """
     if not xml or len(xml) > 16 << 20 or re.search(rb"<!(?:DOCTYPE|ENTITY)", xml, re.I):
-        return {}
+        return None
     import xml.etree.ElementTree as tree
 
+    found = dict.fromkeys(CERTIFICATE, "")
     try:
-        root = tree.fromstring(xml)
-        found = {"tipo": root.get("tipo", ""), "msgid": root.findtext(".//msgid") or "", "oggetto": root.findtext(".//oggetto") or ""}
+        elements: dict[str, tree.Element] = {}
+        for e in tree.fromstring(xml).iter():
+            elements.setdefault(e.tag, e)
+        for name, (tag, attribute) in CERTIFICATE.items():
+            if (e := elements.get(tag)) is not None:
+                found[name] = (e.get(attribute) if attribute else e.text) or ""
     except tree.ParseError:
         text = decode(xml)
-        found = {k: m.group(1) if (m := re.search(p, text)) else "" for k, p in (("tipo", r"<postacert[^>]*\btipo=[\"']([^\"']*)"), ("msgid", r"<msgid>([^<]*)"), ("oggetto", r"<oggetto>([^<]*)"))}
-    return {k: v.strip() for k, v in found.items()}
+        for name, (tag, attribute) in CERTIFICATE.items():
+            m = re.search(rf"<{tag}\b[^>]*?\b{attribute}\s*=\s*[\"']([^\"']*)" if attribute else rf"<{tag}\b[^>]*>([^<]*)", text)
+            found[name] = html.unescape(m[1]) if m else ""
+    found = {k: v.strip() for k, v in found.items()}
+    return found if found["tipo"] else None
+
+
+def _empty(flags: list[str]) -> dict:
+    """A message of which nothing could be read."""
+    lists = {"to", "cc", "reply_to", "attachments"}
+    out = {f.name: [] if f.name in lists else None for f in MESSAGE.fields}
+    return out | {"body": "", "body_source": "", "enveloped": False, "flags": flags}
 
 
 def parse(raw: bytes | None) -> dict | None:
     """The message in an envelope, or the message itself; null for null, and flags instead of errors."""
     if raw is None:
         return None
+    try:
+        return _parse(raw)
+    except Exception as e:  # one malformed message must not end its task
+        return _empty(["illeggibile:" + type(e).__name__])
+
+
+def _parse(raw: bytes) -> dict:
     flags: list[str] = []
     outer = email.message_from_bytes(raw, policy=email.policy.compat32)
     parts = list(outer.walk())
     name = lambda p: header_text(p.get_filename()).lower()
-    certificate = next((_payload(p) for p in parts if name(p) == "daticert.xml"), b"") or next((x for p in parts if p.get_content_type() in ("application/xml", "text/xml") and b"<postacert" in (x := _payload(p))[:4096]), b"")
+    xml = next((_payload(p) for p in parts if name(p) == "daticert.xml"), b"") or next((x for p in parts if p.get_content_type() in ("application/xml", "text/xml") and b"<postacert" in (x := _payload(p))[:4096]), b"")
     inside = next((_payload(p) for p in parts if p is not outer and (name(p) == "postacert.eml" or p.get_content_type() == "message/rfc822")), b"")
-    certified = _certified(certificate)
-    message = email.message_from_bytes(inside, policy=email.policy.compat32) if inside else outer
-    if certificate and not certified:
+    certified = certificate(xml)
+    if xml and certified is None:
         flags.append("certificato_illeggibile")
-    plain, html, attachments = [], [], []
+    message = email.message_from_bytes(inside, policy=email.policy.compat32) if inside else outer
+    plain, pages, attachments = [], [], []
     for p in message.walk():
         if p.is_multipart() and p.get_content_type() != "message/rfc822":
             continue
         kind, label, how = p.get_content_type(), header_text(p.get_filename()), p.get_content_disposition()
         if kind in ("text/plain", "text/html") and how != "attachment" and not label:
-            (plain if kind == "text/plain" else html).append(decode(_payload(p), p.get_content_charset()))
+            (plain if kind == "text/plain" else pages).append(decode(_payload(p), p.get_content_charset()))
         elif p is not message and kind not in SIGNATURES and label.lower() not in ENVELOPE:
             data = _payload(p)
             attachments.append({"name": label or f"allegato-{len(attachments) + 1}{ENDINGS.get(kind, '.bin')}", "content_type": kind, "size": len(data), "sha256": hashlib.sha256(data).hexdigest(), "inline": how == "inline", "payload": data})
     body, source = tidy("\n\n".join(plain)), "text"
     if not body:
-        body, source = html_text("\n".join(html)), "html" if html else ""
-    sender = addresses(message.get("From"))
+        body, source = html_text("\n".join(pages)), "html" if pages else ""
+    if not body:
+        flags.append("corpo_vuoto")
+    said = certified or {}
+    sender = addresses(message.get("From")) or addresses(said.get("mittente"))
     when = email.utils.parsedate_tz(header_text(message.get("Date")))
+    sent = email.utils.mktime_tz(when) if when else None
     return {
-        "message_id": header_text(message.get("Message-ID")), "subject": header_text(message.get("Subject")), "date": email.utils.formatdate(email.utils.mktime_tz(when)) if when else None, "from": sender[0] if sender else None,
-        "to": addresses(message.get("To")), "cc": addresses(message.get("Cc")), "transport": header_text(outer.get("X-Trasporto")), "receipt": header_text(outer.get("X-Ricevuta")), "declared": certified.get("tipo", ""),
-        "ref_message_id": header_text(outer.get("X-Riferimento-Message-ID")) or certified.get("msgid", ""), "body": body, "body_source": source if body else "", "attachments": attachments, "enveloped": bool(inside), "flags": flags,
+        "message_id": header_text(message.get("Message-ID")) or header_text(outer.get("Message-ID")), "subject": header_text(message.get("Subject")) or said.get("oggetto", ""), "date": email.utils.formatdate(sent) if sent is not None else None, "sent_at": sent, "from": sender[0] if sender else None,
+        "to": addresses(message.get("To")), "cc": addresses(message.get("Cc")), "reply_to": addresses(message.get("Reply-To")), "transport": header_text(outer.get("X-Trasporto")), "receipt": header_text(outer.get("X-Ricevuta")), "declared": said.get("tipo", ""),
+        "ref_message_id": header_text(outer.get("X-Riferimento-Message-ID")) or said.get("msgid", ""), "body": body, "body_source": source if body else "", "attachments": attachments, "enveloped": bool(inside), "envelope_subject": header_text(outer.get("Subject")), "certificate": certified, "flags": flags,
     }
 
 

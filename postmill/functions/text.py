@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
-# Word lists of the lexical scan. Word characters are spelled out because engines
-# disagree on what \w means outside ASCII.
-_W = r"[\p{L}\p{N}_]"
-REMINDER = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(sollecit{_W}+|morosit{_W}+|diffid{_W}+|ultimo avviso|secondo avviso)([^\p{{L}}\p{{N}}_]|$)"
-URGENCY = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(urgent{_W}+|immediat{_W}+|entro oggi|entro 24 ore|tassativ{_W}+|pena la sospensione)([^\p{{L}}\p{{N}}_]|$)"
-PAYMENT = rf"(?i)(^|[^\p{{L}}\p{{N}}_])(iban|bonific{_W}+|coordinate bancarie|nuove coordinate|conto corrente|swift|bic)([^\p{{L}}\p{{N}}_]|$)"
-#: (name, pattern) of phrases that speak to a model instead of the addressee; the first hit of a name counts.
+# Word lists of the lexical scan. U: word signs and boundaries as Unicode has them.
+REMINDER = r"(?iU)\b(sollecit\w+|insolut\w+|diffid\w+|intimazion\w+|morosit\w+|mancato pagamento|pagamento non pervenuto|ultimo avviso)\b"
+URGENCY = r"(?iU)\b(urgent\w+|immediat\w+|entro (?:24|48) ore|improrogabil\w+|tassativ\w+|pena la sospensione)\b"
+PAYMENT = r"(?iU)\b(iban|bonific\w+|coordinate bancarie|nuove coordinate|conto corrente|swift|bic)\b"
+#: (name, pattern) of phrases that speak to a model instead of the addressee. Fixed values.
 INJECTIONS = (
-    ("ignora_istruzioni", r"(?i)ignor[\p{L}]+\s+(le\s+)?(precedenti\s+)?istruzion"),
-    ("ignore_previous", r"(?i)ignore\s+(all\s+|the\s+)?(previous|prior|above)"),
-    ("disregard", r"(?i)disregard\s+(all\s+|the\s+)?(previous|prior|above)"),
-    ("ruolo_imposto", r"(?i)(sei|agisci come)\s+un('|\s+)?(assistente|intelligenza artificiale|modello linguistico)|you\s+are\s+(an?\s+)?(ai\s+)?(assistant|language model)"),
-    ("system_prompt", r"(?i)(system|developer)\s+prompt"),
-    ("tag_falsificato", r"(?i)</?\s*(materiale_non_fidato|system|istruzioni)"),
-    ("marcatore_di_turno", r"(?i)(^|\n)\s*(human|assistant|system)\s*:"),
-    ("istruzione_di_inoltro", r"(?i)(^|\n)\s*(inoltra(re|lo|la)?|gira(re)?|spedisci|forward)\s+(quest[oa]|il|la|lo)?\s*(messaggio|documento|mail|email|allegato|pec)?\s*a\s+[^\s@]+@"),
-    ("richiesta_di_silenzio", r"(?i)non\s+(mostrare|segnalare|riportare)\s+(questo|nulla)"),
+    ("ignora_istruzioni", r"(?iUm)\bignor\w+\s+(?:le\s+)?(?:precedenti\s+)?istruzion"),
+    ("ignore_previous", r"(?iUm)\bignore\s+(?:all\s+|the\s+)?(?:previous|prior|above)\b"),
+    ("disregard", r"(?iUm)\bdisregard\s+(?:all\s+|the\s+)?(?:previous|prior|above)\b"),
+    ("ruolo_imposto", r"(?iUm)\b(?:sei|agisci come)\s+un(?:'|\s+)?(?:assistente|intelligenza artificiale|modello linguistico)"),
+    ("ruolo_imposto", r"(?iUm)\byou\s+are\s+(?:an?\s+)?(?:ai\s+)?(?:assistant|language model)\b"),
+    ("system_prompt", r"(?iUm)\b(?:system|developer)\s+prompt\b"),
+    ("tag_falsificato", r"(?iUm)</?\s*(?:materiale_non_fidato|system|istruzioni)\b"),
+    ("marcatore_di_turno", r"(?iUm)^\s*(?:human|assistant|system)\s*:"),
+    ("istruzione_di_inoltro", r"(?iUm)^\s*(?:inoltra(?:re|lo|la)?|gira(?:re)?|spedisci|forward)\s+(?:quest[oa]|il|la|lo)?\s*(?:messaggio|documento|mail|email|allegato|pec)?\s*a\s+\S+@"),
+    ("richiesta_di_silenzio", r"(?iUm)\bnon\s+(?:mostrare|segnalare|riportare)\s+(?:questo|nulla)"),
+)
+#: (pattern, replacement) of secrets in log lines. Fixed values.
+SECRETS = (
+    (r"(?iU)\b(password|passwd|pwd|token|secret|api[-_ ]?key|x-api-key)\b\s*[:=]\s*\S+", "$1=***"),
+    (r"(?iU)\b(LOGIN|AUTHENTICATE)\s+(\S+)\s+(\S+)", "$1 $2 ***"),
+    (r"sk-ant-[A-Za-z0-9_\-]{8,}", "sk-ant-***"),
 )
 
 
@@ -51,14 +56,14 @@ def normalize(c: Column) -> Column:
 
 def redact_secrets(c: Column) -> Column:
     """Values of passwords, logins and API keys become ***."""
-    s = F.regexp_replace(c, r"(?i)\b(password|passwd|pwd|token|secret|api[-_ ]?key|x-api-key)\b\s*[:=]\s*\S+", "$1=***")
-    s = F.regexp_replace(s, r"(?i)\b(LOGIN|AUTHENTICATE)\s+(\S+)\s+(\S+)", "$1 $2 ***")
-    return F.regexp_replace(s, r"\b(sk-[a-z]{2,8})-[A-Za-z0-9_\-]{8,}", "$1-***")
+    for pattern, safe in SECRETS:
+        c = F.regexp_replace(c, pattern, safe)
+    return c
 
 
 def injection_hits(c: Column) -> Column:
-    """Names of the patterns that a text hits, in their fixed order; empty for a null text."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in INJECTIONS]))
+    """Names of the patterns that a text hits, each once, in their fixed order; empty for a null text."""
+    return F.array_distinct(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in INJECTIONS])))
 
 
 def neutralise_tags(c: Column) -> Column:
@@ -93,3 +98,18 @@ def slug(c: Column, size: int = 96) -> Column:
     """Lower-case ASCII name part: other signs become single hyphens."""
     s = F.regexp_replace(fold(c), r"[^a-z0-9._-]+", "-")
     return F.substring(F.regexp_replace(F.regexp_replace(s, "-{2,}", "-"), "^[-.]+|[-.]+$", ""), 1, size)
+
+
+def bytes_text(n: Column) -> Column:
+    """A number of bytes in the largest unit that leaves at least one, B to TiB; ? below zero, null for null."""
+    units = ("B", "KiB", "MiB", "GiB", "TiB")
+    value = n.cast("double")
+    out = F.when(n < 0, F.lit("?")).when(value < 1024, F.format_string("%.0f B", value))
+    for k, unit in enumerate(units[1:-1], 1):
+        out = out.when(value < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(value / 1024.0**k, 1)))
+    return F.when(n.isNotNull(), out.otherwise(F.format_string("%.1f TiB", F.bround(value / 1024.0**4, 1))))
+
+
+def cut(c: Column, size: int) -> Column:
+    """The first characters of a text, null as empty."""
+    return F.coalesce(F.substring(c, 1, size), F.lit(""))

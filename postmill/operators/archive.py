@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import text, times
+from postmill.operators.fulltext import FIELDS, matches, parse_match, snippet, token_index  # noqa: F401
+from postmill.session import exists
 
 
-def newest(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("fetched_at",)) -> DataFrame:
-    """Last write wins: one row for each key, ties by the whole row.
+def newest(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("fetched_at",), count: str | None = None) -> DataFrame:
+    """Last write wins: one row for each key, ties by the whole row; ``count`` names a column for its number of rows.
 
     An aggregate with map-side combine; a key written over and over gathers no group.
     """
     rest = [c for c in df.columns if c != key and c not in order]
-    return df.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_row")).select(key, "_row.*").select(*df.columns)
+    found = df.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_row"), F.count(F.lit(1)).alias("_n"))
+    return found.select(key, "_row.*", *([F.col("_n").alias(count)] if count else [])).select(*df.columns, *([count] if count else []))
 
 
 def archive_date() -> Column:
@@ -25,8 +26,11 @@ def archive_date() -> Column:
 
 
 def search(df: DataFrame, *, client: str | None = None, account: str | None = None, sender: str | None = None, since: str | None = None, until: str | None = None, msg_type: str | None = None, limit: int | None = 50) -> DataFrame:
-    """Messages that meet all filters, newest first, ties by id. ``sender`` is a part of address or domain
-    in any case and its % and _ are wildcards; ``client`` also meets the account. Filters reach the scan."""
+    """Messages that meet all filters; with a limit the newest first, ties by id, without one in no order.
+
+    ``sender`` is a part of address or domain in any case and its % and _ are wildcards; ``client`` also
+    meets the account. Over the newest versions the filters come after the aggregate that finds these.
+    """
     d = archive_date()
     if client is not None:
         df = df.where((F.col("client") == client) | (F.col("account") == client))
@@ -40,8 +44,7 @@ def search(df: DataFrame, *, client: str | None = None, account: str | None = No
         df = df.where(times.until(d, until))
     if msg_type is not None:
         df = df.where(F.col("msg_type") == msg_type)
-    df = df.orderBy(d.desc_nulls_last(), F.col("id"))
-    return df.limit(limit) if limit is not None else df
+    return df.orderBy(d.desc_nulls_last(), F.col("id")).limit(limit) if limit is not None else df
 
 
 def stats(df: DataFrame) -> DataFrame:
@@ -76,69 +79,39 @@ def index_record() -> list[Column]:
     ]
 
 
-# ---- full-text search -------------------------------------------------------------------------
-
-FIELDS = ("subject", "sender", "recipients", "body", "attachments")
+def full_metadata() -> list[Column]:
+    """The compact record with everything else that is known of a message."""
+    more = ["certified", "receipt_kind", "pec_identifier", "gestore", "content_dir", "index_file", "n_attachments", "body_chars"]
+    recipients = F.filter(F.transform(F.split(F.coalesce("to_addrs", F.lit("")), ","), lambda a: F.lower(F.trim(a))), lambda a: a != "")
+    return [*index_record(), recipients.alias("destinatari"), F.struct(*more).alias("dettagli")]
 
 
-def token_index(df: DataFrame, key: str = "rowid_fts", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Inverted index (token, key, field): one row for each distinct word of a field."""
-    listed = F.array(*[F.struct(F.lit(f).alias("field"), text.tokens(F.col(f)).alias("words")) for f in fields])
-    return df.select(key, F.inline(listed)).select(F.explode("words").alias("token"), key, "field")
+def lowered(df: DataFrame, columns: tuple[str, ...] = ("mailbox_address", "from_addr", "from_domain", "to_addrs")) -> DataFrame:
+    """Migration of older archives: addresses in lower case, as they are compared."""
+    return df.withColumns({c: F.lower(c) for c in columns})
 
 
-def parse_match(query: str) -> list[list[tuple[str, str | None, bool, bool]]]:
-    """A MATCH string as alternatives of (text, field or None, phrase or prefix..., negated) terms.
+def upsert(df: DataFrame, path: str, key: str = "id", buckets: int = 64) -> None:
+    """Add versions of messages to the archive; what it holds already, key and time of fetching, is left out.
 
-    Grammar: words are joined by AND, "a phrase", prefix*, field:term, OR between groups, NOT before a
-    term. Unbalanced quotes or an empty group raise ValueError.
+    The newest version wins when read (``newest``), so that an upsert appends and never rewrites.
     """
-    if query.count('"') % 2:
-        raise ValueError("unbalanced quotes")
-    groups: list[list[tuple[str, str | None, bool, bool]]] = [[]]
-    negate = False
-    for field, phrase, word in re.findall(r'(?:(\w+):)?(?:"([^"]*)"|([^\s"]+))', query):
-        if word == "OR" and not field:
-            groups.append([])
-        elif word == "AND" and not field:
-            continue
-        elif word == "NOT" and not field:
-            negate = True
-        else:
-            if field and field not in FIELDS:
-                raise ValueError(f"no such field: {field}")
-            prefix = bool(word) and word.endswith("*")
-            groups[-1].append((phrase or word.rstrip("*"), field or None, prefix, negate))
-            negate = False
-    if not all(groups) or negate:
-        raise ValueError("empty search")
-    return groups
-
-
-def matches(query: str, fields: tuple[str, ...] = FIELDS) -> Column:
-    """A MATCH string as one boolean expression over the fields' words; it runs inside the scan's stage."""
-
-    def holds(field: str, term: str, prefix: bool) -> Column:
-        words = F.concat(F.lit(" "), F.trim(F.regexp_replace(text.fold(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-        wanted = F.trim(F.regexp_replace(text.fold(F.lit(term)), r"[^\p{L}\p{N}]+", " "))
-        return F.contains(words, F.concat(F.lit(" "), wanted, F.lit("" if prefix else " ")))
-
-    any_group = F.lit(False)
-    for group in parse_match(query):
-        every = F.lit(True)
-        for term, field, prefix, negated in group:
-            hit = F.lit(False)
-            for f in (field,) if field else fields:
-                hit = hit | holds(f, term, prefix)
-            every = every & (~hit if negated else hit)
-        any_group = any_group | every
-    return any_group
-
-
-def snippet(c: Column, word: str, size: int = 16) -> Column:
-    """About ``size`` words around the first occurrence of a word, cut ends marked."""
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    at = F.array_position(F.transform(words, lambda w: text.fold(w).contains(word.lower())), True).cast("int")
-    start = F.greatest(at - size // 2, F.lit(1))
-    body = F.array_join(F.slice(words, start, F.lit(size)), " ")
-    return F.when(at > 0, F.concat(F.when(start > 1, " … ").otherwise(""), body, F.when(start + size <= F.size(words), " … ").otherwise("")))
+    spark = df.sparkSession
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).dropDuplicates(["bucket", key, "fetched_at"])
+    if exists(spark, path):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select("bucket", key, "fetched_at"), ["bucket", key, "fetched_at"], "left_anti")
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def add_missing(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Append the rows of keys that the table does not hold."""
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if exists(df.sparkSession, path):
+        rows = rows.join(df.sparkSession.read.schema(rows.schema).parquet(path).select("bucket", key).distinct(), ["bucket", key], "left_anti")
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def searched(hits: DataFrame, link: DataFrame, df: DataFrame, **filters) -> DataFrame:
+    """Messages among the full-text hits (rowid_fts) that meet the filters of ``search``."""
+    ids = link.join(hits, "rowid_fts", "left_semi").select(F.col("msg_id").alias("id")).distinct()
+    return search(df.join(ids, "id", "left_semi"), **filters)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import files, mime, text, times
-from postmill.operators import archive, history, ingest, register, rules
-from postmill.session import spread
+from postmill.operators import archive, fulltext, history, ingest, register, rules
+from postmill.session import spread, work_dir
 from postmill.sources.tables import read_table as t
 
 QUERIES: dict = {}
@@ -40,8 +40,7 @@ def _newest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 @query("SELECT id, max(fetched_at) AS fetched_at, count(*) AS versions FROM messages GROUP BY id")
 def archive_newest(spark: SparkSession, d: str) -> DataFrame:
     """Last write wins: each message's newest row and how many rows it had."""
-    m = t(spark, d, "messages").select("id", "fetched_at")
-    return archive.newest(m).join(m.groupBy("id").agg(F.count(F.lit(1)).alias("versions")), "id")
+    return archive.newest(t(spark, d, "messages").select("id", "fetched_at"), count="versions")
 
 
 @query(f"WITH {_NEWEST.format(cols='id, msg_type, date_certified, fetched_at')} SELECT msg_type, count(*) AS n, min(coalesce(date_certified, fetched_at)) AS first_date, max(coalesce(date_certified, fetched_at)) AS last_date FROM newest GROUP BY msg_type")
@@ -74,6 +73,19 @@ _FOLD = f"translate(lower(coalesce({{c}}, '')), '{text.ACCENTED}', '{text.PLAIN}
 _WORDS = "(' ' || trim(regexp_replace(" + _FOLD + ", '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ')"
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _search(spark: SparkSession, d: str, query: str) -> DataFrame:
+    """rowid_fts of the texts that a MATCH string finds; the token index of a folder is built once for each application."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        path = work_dir(spark, "index")
+        fulltext.build_index(t(spark, d, "messages_fts"), path)
+        _INDEXES[at] = path
+    return fulltext.search_index(spark, _INDEXES[at], query).withColumnRenamed("key", "rowid_fts")
+
+
 def _any_field(term: str) -> str:
     return "(" + " OR ".join(f"contains({_WORDS.format(c=f)}, '{term}')" for f in archive.FIELDS) + ")"
 
@@ -81,22 +93,23 @@ def _any_field(term: str) -> str:
 @query(f"SELECT k.msg_id AS id, f.rowid_fts FROM messages_fts f JOIN fts_map k USING (rowid_fts) WHERE {_any_field(' perizia ')} AND {_any_field(' lunedi ')} AND NOT {_any_field(' fattura ')}")
 def fts_match_all(spark: SparkSession, d: str) -> DataFrame:
     """Messages with two words, one of them with an accent, and without a third."""
-    f = t(spark, d, "messages_fts").where(archive.matches("perizia lunedì NOT fattura"))
-    return f.select("rowid_fts").join(t(spark, d, "fts_map"), "rowid_fts").select(F.col("msg_id").alias("id"), "rowid_fts")
+    f = _search(spark, d, "perizia lunedì NOT fattura")
+    return f.join(t(spark, d, "fts_map"), "rowid_fts").select(F.col("msg_id").alias("id"), "rowid_fts")
 
 
 @query(f"SELECT rowid_fts FROM messages_fts WHERE contains({_WORDS.format(c='body')}, ' nulla osta ') OR {_any_field(' condomin')}")
 def fts_phrase_prefix(spark: SparkSession, d: str) -> DataFrame:
     """A phrase in the body, or a word's beginning anywhere."""
-    return t(spark, d, "messages_fts").where(archive.matches('body:"nulla osta" OR condomin*')).select("rowid_fts")
+    return _search(spark, d, 'body:"nulla osta" OR condomin*')
 
 
 @query("""WITH words AS (SELECT DISTINCT rowid_fts, field, w FROM (SELECT rowid_fts, field, unnest(string_split_regex(""" + _FOLD.format(c="v") + """, '[^\\p{L}\\p{N}]+')) AS w FROM
-  (SELECT rowid_fts, 'subject' AS field, subject AS v FROM messages_fts UNION ALL SELECT rowid_fts, 'body', body FROM messages_fts)) WHERE w <> '')
+  (SELECT rowid_fts, 'subject' AS field, subject AS v FROM messages_fts UNION ALL SELECT rowid_fts, 'sender', sender FROM messages_fts UNION ALL SELECT rowid_fts, 'recipients', recipients FROM messages_fts
+   UNION ALL SELECT rowid_fts, 'body', body FROM messages_fts UNION ALL SELECT rowid_fts, 'attachments', attachments FROM messages_fts)) WHERE w <> '')
   SELECT w AS token, field, count(*) AS n FROM words GROUP BY ALL""")
 def fts_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     """How many messages each word of the inverted index stands in."""
-    return archive.token_index(t(spark, d, "messages_fts"), fields=("subject", "body")).groupBy("token", "field").agg(F.count(F.lit(1)).alias("n"))
+    return archive.token_index(t(spark, d, "messages_fts")).groupBy("token", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT msg_id, name, max(size) AS size, count(*) AS n_rows FROM attachments GROUP BY msg_id, name""")
@@ -194,10 +207,10 @@ def filter_known_anti(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT account, uidvalidity, uid, f.uidvalidity AS first_uidvalidity, f.uid AS first_uid, coalesce(f IS DISTINCT FROM struct_pack(uidvalidity := s.uidvalidity, uid := s.uid) AND f IS NOT NULL, false) AS duplicate
-  FROM (SELECT *, CASE WHEN content_hash IS NOT NULL THEN min(struct_pack(uidvalidity := uidvalidity, uid := uid)) OVER (PARTITION BY account, content_hash) END AS f FROM mail_state) s""")
+  FROM (SELECT *, CASE WHEN content_hash IS NOT NULL THEN min(struct_pack(uidvalidity := uidvalidity, uid := uid)) FILTER (WHERE status IN ('done', 'skipped')) OVER (PARTITION BY account, content_hash) END AS f FROM mail_state) s""")
 def dedup_content_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Each row and the first row of the same content in its mailbox."""
-    s = t(spark, d, "mail_state").select("account", "uidvalidity", "uid", "content_hash")
+    """Each row and the first row of the same content in its mailbox that was written or skipped."""
+    s = t(spark, d, "mail_state").select("account", "uidvalidity", "uid", "content_hash", "status")
     return ingest.twins(s).select("account", "uidvalidity", "uid", "first_uidvalidity", "first_uid", "duplicate")
 
 
@@ -279,8 +292,8 @@ def reconcile_merge(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT msg_id, min(recorded_at) AS recorded_at, count(*) AS n FROM receipts WHERE msg_id IS NOT NULL GROUP BY msg_id")
 def receipts_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """The first record of each receipt; later ones change nothing."""
-    r = t(spark, d, "receipts").where(F.col("msg_id").isNotNull())
-    return ingest.first_receipts(r).select("msg_id", "recorded_at").join(r.groupBy("msg_id").agg(F.count(F.lit(1)).alias("n")), "msg_id")
+    r = t(spark, d, "receipts").where(F.col("msg_id").isNotNull()).select("msg_id", "recorded_at")
+    return ingest.first_receipts(r, count="n")
 
 
 @query("SELECT msg_type, CASE WHEN msg_type IN ('accettazione', 'presa_in_carico', 'avvenuta_consegna') THEN 'positiva' WHEN msg_type IN ('non_accettazione', 'errore_consegna', 'preavviso_errore_consegna', 'rilevazione_virus') THEN 'negativa' END AS class, count(DISTINCT id) AS n FROM messages GROUP BY msg_type")
@@ -339,20 +352,33 @@ def normalize_text_cols(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("normal"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(password|passwd|pwd|token|secret|api[-_ ]?key|x-api-key)\b\s*[:=]\s*\S+', '\1=***', 'g'), '(?i)\b(LOGIN|AUTHENTICATE)\s+(\S+)\s+(\S+)', '\1 \2 ***', 'g'), '\b(sk-[a-z]{2,8})-[A-Za-z0-9_\-]{8,}', '\1-***', 'g') AS safe FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(password|passwd|pwd|token|secret|api[-_ ]?key|x-api-key)\b\s*[:=]\s*\S+', '\1=***', 'g'), '(?i)\b(LOGIN|AUTHENTICATE)\s+(\S+)\s+(\S+)', '\1 \2 ***', 'g'), 'sk-ant-[A-Za-z0-9_\-]{8,}', 'sk-ant-***', 'g') AS safe FROM documents""")
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Every text without passwords and keys."""
     return t(spark, d, "documents").select("doc_id", text.redact_secrets(F.col("text")).alias("safe"))
 
 
-@query(f"SELECT rowid_fts, regexp_matches(v, $${text.REMINDER}$$) AS sollecito, regexp_matches(v, $${text.URGENCY}$$) AS urgenza, regexp_matches(v, $${text.PAYMENT}$$) AS pagamento FROM (SELECT rowid_fts, coalesce(subject, '') || chr(10) || coalesce(body, '') AS v FROM messages_fts)")
+@query(r"""SELECT rowid_fts,
+  regexp_matches(v, '(?i)(^|[^\p{L}\p{N}_])(sollecit[\p{L}\p{N}_]+|insolut[\p{L}\p{N}_]+|diffid[\p{L}\p{N}_]+|intimazion[\p{L}\p{N}_]+|morosit[\p{L}\p{N}_]+|mancato pagamento|pagamento non pervenuto|ultimo avviso)([^\p{L}\p{N}_]|$)') AS sollecito,
+  regexp_matches(v, '(?i)(^|[^\p{L}\p{N}_])(urgent[\p{L}\p{N}_]+|immediat[\p{L}\p{N}_]+|entro (24|48) ore|improrogabil[\p{L}\p{N}_]+|tassativ[\p{L}\p{N}_]+|pena la sospensione)([^\p{L}\p{N}_]|$)') AS urgenza,
+  regexp_matches(v, '(?i)(^|[^\p{L}\p{N}_])(iban|bonific[\p{L}\p{N}_]+|coordinate bancarie|nuove coordinate|conto corrente|swift|bic)([^\p{L}\p{N}_]|$)') AS pagamento FROM (SELECT rowid_fts, coalesce(subject, '') || chr(10) || coalesce(body, '') AS v FROM messages_fts)""")
 def lexicon_flags(spark: SparkSession, d: str) -> DataFrame:
     """Reminders, urgency and payment words in subject and body."""
     v = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
     return t(spark, d, "messages_fts").select("rowid_fts", v.rlike(text.REMINDER).alias("sollecito"), v.rlike(text.URGENCY).alias("urgenza"), v.rlike(text.PAYMENT).alias("pagamento"))
 
 
-@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, $${p}$$) THEN '{n}' END" for n, p in text.INJECTIONS) + "], lambda x: x IS NOT NULL) AS hits FROM documents")
+@query(r"""SELECT doc_id, list_filter([
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])ignor[\p{L}\p{N}_]+\s+(le\s+)?(precedenti\s+)?istruzion') THEN 'ignora_istruzioni' END,
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])ignore\s+(all\s+|the\s+)?(previous|prior|above)([^\p{L}\p{N}_]|$)') THEN 'ignore_previous' END,
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])disregard\s+(all\s+|the\s+)?(previous|prior|above)([^\p{L}\p{N}_]|$)') THEN 'disregard' END,
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(sei|agisci come)\s+un(''|\s+)?(assistente|intelligenza artificiale|modello linguistico)')
+    OR regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])you\s+are\s+(an?\s+)?(ai\s+)?(assistant|language model)([^\p{L}\p{N}_]|$)') THEN 'ruolo_imposto' END,
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(system|developer)\s+prompt([^\p{L}\p{N}_]|$)') THEN 'system_prompt' END,
+  CASE WHEN regexp_matches(text, '(?i)</?\s*(materiale_non_fidato|system|istruzioni)([^\p{L}\p{N}_]|$)') THEN 'tag_falsificato' END,
+  CASE WHEN regexp_matches(text, '(?im)^\s*(human|assistant|system)\s*:') THEN 'marcatore_di_turno' END,
+  CASE WHEN regexp_matches(text, '(?im)^\s*(inoltra(re|lo|la)?|gira(re)?|spedisci|forward)\s+(quest[oa]|il|la|lo)?\s*(messaggio|documento|mail|email|allegato|pec)?\s*a\s+\S+@') THEN 'istruzione_di_inoltro' END,
+  CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])non\s+(mostrare|segnalare|riportare)\s+(questo|nulla)') THEN 'richiesta_di_silenzio' END], lambda x: x IS NOT NULL) AS hits FROM documents""")
 def injection_hits(spark: SparkSession, d: str) -> DataFrame:
     """Phrases that speak to a model instead of a reader."""
     return t(spark, d, "documents").select("doc_id", text.injection_hits(F.col("text")).alias("hits"))
@@ -439,7 +465,7 @@ def run_totals(spark: SparkSession, d: str) -> DataFrame:
 # ---- streaming ---------------------------------------------------------------------------------
 
 
-@query("SELECT account, content_hash, count(*) AS n FROM (SELECT DISTINCT account, content_hash FROM mail_state) GROUP BY ALL")
+@query("SELECT DISTINCT account, content_hash, msg_id FROM mail_state")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The state table read as a stream, each content of a mailbox once; all there is now, then stop."""
     import os
@@ -457,9 +483,9 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
         stream = reader.option("pathGlobFilter", name).parquet(folder)
     else:
         stream = reader.parquet(path)
-    q = unique(stream.select("account", "content_hash")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").trigger(availableNow=True).start()
+    q = unique(stream.select("account", "content_hash", "msg_id")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("account", "content_hash").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{base}/out").select("account", "content_hash", "msg_id")
 
 
 @query(f"""WITH {_NEWEST.format(cols='id, fetched_at, account, client, mailbox_label, mailbox_address, date_certified, date_sent')}

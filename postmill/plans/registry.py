@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from postmill.plans import core, records
+from postmill.plans import core, more, records
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for _module in (core, records):
+for _module in (core, more, records):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -75,6 +75,13 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     return df if have >= want else df.repartition(want)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reaches."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).exists(target)
+
+
 def in_tasks(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Partitioned by the keys into a fixed number of tasks for a Python stage: merging partitions by size would leave few."""
     spark = df.sparkSession

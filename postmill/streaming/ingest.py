@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postmill.operators import archive, ingest
+from postmill.session import exists
 
 
 def identified(raw: DataFrame) -> DataFrame:
@@ -29,17 +30,17 @@ def daily_counts(stream: DataFrame, at: str, delay: str = "30 days") -> DataFram
     return stream.withWatermark(at, delay).groupBy("account", F.window(at, "1 day").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_once(batch: DataFrame, batch_id: int, path: str, key: str = "id") -> None:
+def write_once(batch: DataFrame, batch_id: int, path: str, key: str = "id", buckets: int = 64) -> None:
     """Sink of one micro-batch: rows whose key the table holds already are left out, so that a replayed
     batch adds nothing."""
     spark = batch.sparkSession
-    try:
-        held = spark.read.parquet(path).select(key).distinct()
-        batch = batch.join(held, key, "left_anti")
-    except Exception as e:  # the table does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    archive.newest(batch, key, ()).write.mode("append").parquet(path)
+    # what the table holds is asked for by key only; a table partitioned by bucket is read in the batch's buckets
+    rows = archive.newest(batch, key, ()).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if exists(spark, path):
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        held = spark.read.parquet(path).where(F.col("bucket").isin(*touched)).select("bucket", key)
+        rows = rows.join(held, ["bucket", key], "left_anti")
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def run(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

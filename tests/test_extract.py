@@ -18,8 +18,8 @@ def test_statuses(spark):
     docx = zipped([("word/document.xml", "<w:p>Ciao</w:p>")])
     rows = [
         ("a.txt", "", "però".encode("cp1252"), "ok", "però"), ("a.html", "", b"<p>x</p>", "ok", "x"), ("a.docx", "", docx, "ok", "Ciao"), ("a.docm", "", docx, "ok", "Ciao"), ("a.pdf", "", b"%PDF-1", "tool_missing", ""), ("a.pdf.exe", "", b"x", "blocked_type", ""),
-        ("b.pdf", "", b"MZ", "blocked_type", ""), ("a.zip", "", zipped([("i.txt", b"1")]), "ok", "i.txt"), ("a.rar", "", b"Rar!x", "unsupported_archive", ""), ("z.zip", "", zipped([("z", b"\0" * (9 << 20))]), "archive_limit", "z"), ("a.rtf", "", b"{\\rtf1 citt\\'e0}", "ok", "citt\u00e0"),
-        ("a.doc", "", b"\xd0\xcf\x11\xe0", "unsupported", ""), ("a.txt", "", b"", "empty", ""), ("a.txt", None, None, "empty", ""), (None, None, b"x", "unsupported", ""), ("a.eml", "", b"From: a@b.it\r\nSubject: s\r\n\r\ncorpo", "ok", "Da: a@b.it\nOggetto: s\n\ncorpo"), ("a.zip", "", b"PK\x03\x04x", "failed", "a.zip"), ("x.jpg", "", b"\xff\xd8", "tool_missing", ""),
+        ("b.pdf", "", b"MZ", "blocked_type", ""), ("a.zip", "", zipped([("i.txt", b"1")]), "ok", "=== i.txt ===\n1"), ("a.rar", "", b"Rar!x", "unsupported_archive", ""), ("z.zip", "", zipped([("z", b"\0" * (9 << 20))]), "archive_limit", "=== z === [non trattato: ratio]"), ("a.rtf", "", b"{\\rtf1 citt\\'e0}", "ok", "citt\u00e0"),
+        ("a.doc", "", b"\xd0\xcf\x11\xe0", "unsupported", ""), ("a.txt", "", b"", "empty", ""), ("a.txt", None, None, "empty", ""), (None, None, b"x", "unsupported", ""), ("a.eml", "", b"From: a@b.it\r\nSubject: s\r\n\r\ncorpo", "ok", "Da: a@b.it\nOggetto: s\n\ncorpo"), ("a.zip", "", b"PK\x03\x04x", "failed", ""), ("x.jpg", "", b"\xff\xd8", "tool_missing", ""),
     ]
     df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "id int, name string, content_type string, payload binary")
     got = {r.id: r for r in extract.extract(df).collect()}
