@@ -24,9 +24,11 @@ def read_queue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank, torn and non-object lines are left out."""
-    lines = spark.read.text(path).select(F.from_json("value", schema + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
-    return lines.where((F.trim("value") != "") & F.trim("value").startswith("{") & F.col("r._bad").isNull()).select("r.*").drop("_bad")
+    """JSON lines and the columns of their folders; blank, torn and non-object lines are left out."""
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    lines = lines.select(F.from_json("value", schema + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value", *folders)
+    return lines.where((F.trim("value") != "") & F.trim("value").startswith("{") & F.col("r._bad").isNull()).select("r.*", *folders).drop("_bad")
 
 
 def read_mail_files(spark: SparkSession, path: str) -> DataFrame:

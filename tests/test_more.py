@@ -77,8 +77,7 @@ def test_outcomes(spark, tmp_path):
     path = str(tmp_path / "esiti")
     rows = spark.createDataFrame([("1", "2024-01-01", "ordinario"), ("2", "2024-01-02", None)], "id string, day string, classe string")
     outcomes.append(rows, path, F.col("day"))
-    with open(next((tmp_path / "esiti" / "giorno=2024-01-01").glob("*.json")), "a", encoding="utf-8") as f:
-        f.write('{"id": "torn')
+    (tmp_path / "esiti" / "giorno=2024-01-01" / "torn.json").write_text('{"id": "torn')
     outcomes.append(spark.createDataFrame([("3", "x")], "id string, classe string"), path, F.lit("2024-01-01"))
     read = outcomes.read(spark, path, outcomes.OUTCOME)
     assert {(r.id, str(r.giorno)) for r in read.collect()} == {("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "2024-01-01")}
