@@ -1,11 +1,12 @@
 """Variant spellings of persons and organisations in names typed by people.
 
 Every distinct value is parsed once into a core token (surname, or the distinctive word of an
-organisation) and a partner (the given names it may stand for, or the trades). Cores that differ by a
-typing error are found by blocks within the partner. From 6 letters on these are suffixes of half the
-core's length, of the core and of its reversal: from 7 letters on, one error anywhere leaves one of them
-whole. Cores of up to 6 letters meet through one-deletion keys, and so do the cores of a block that is
-still too common. Pairs are scored by longest-common-subsequence ratio.
+organisation) and a partner (the given names it may stand for, or the trades). Cores are compared within
+the partner: those of 6 letters and more that share a suffix of half their length, or one of their
+reversals, and those of up to 6 letters that are equal but for one letter of each. A suffix that is too
+common even with the partner is refined by what is left of the core without some letters, which loses no
+pair: two cores with a common suffix and a long enough common subsequence have such a rest in common.
+What decides is the longest-common-subsequence ratio (``alike``), the same for every size of a block.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,15 +233,55 @@ def _deletion_keys(cores: DataFrame) -> DataFrame:
     return cores.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.col("core")), without))))
 
 
+def least_ratio(n: int, least: float = 0.8) -> float:
+    """The ratio from which cores are alike, the longer one of ``n`` letters: one letter may always differ from 4 letters on."""
+    return min(least, 1 - 1 / n) if n >= 4 else least
+
+
+def alike(a: str, b: str, least: float = 0.8) -> bool:
+    """Whether two cores may be spellings of one: by the ratio, with lengths at most two letters apart."""
+    return abs(len(a) - len(b)) <= 2 and lcs_ratio(a, b) >= least_ratio(max(len(a), len(b)), least) - 1e-9
+
+
+def rests(rest: str, size: int, least: float = 0.8) -> list[str]:
+    """What is left of a core of ``size`` letters outside its suffix, without any letters that an alike one may lack."""
+    # with b at most two letters shorter, a lacks at most (1 - least) * len(a) + least letters
+    cut = min(len(rest), max(1, int((1 - least) * size + least + 1e-9)))
+    return sorted({"".join(rest[i] for i in keep) for k in range(cut + 1) for keep in combinations(range(len(rest)), len(rest) - k)})
+
+
+def _refined(keyed: DataFrame, least: float) -> DataFrame:
+    """Rows of common suffixes with one refined key for each rest."""
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            cut = [rests(c[: 1 - len(k)] if k[0] == ">" else c[len(k) - 1 :], len(c), least) for c, k in zip(b["core"], b["key"], strict=True)]
+            b["key"] = [[k + "|" + r for r in rs] for k, rs in zip(b["key"], cut, strict=True)]
+            yield b.explode("key")
+
+    return keyed.mapInPandas(run, keyed.schema)
+
+
 def _compare(pairs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            ratio = [lcs_ratio(x, y) if edit1(x, y) else 0.0 for x, y in zip(b["a"], b["b"], strict=True)]
-            yield b.assign(ratio=ratio)[[r >= least for r in ratio]]
+            ratio = [lcs_ratio(x, y) if alike(x, y, least) else -1.0 for x, y in zip(b["a"], b["b"], strict=True)]
+            yield b.assign(ratio=ratio)[[r >= 0 for r in ratio]]
 
     return pairs.mapInPandas(run, "kind string, partner string, a string, b string, ratio double")
 
 
+def _followed(moved: DataFrame) -> DataFrame:
+    """Corrections followed to their end; each one goes to a better core, so that there is no circle."""
+    while True:
+        again = moved.select("kind", "partner", F.col("core").alias("to"), F.col("to").alias("to2"))
+        longer = moved.join(again, ["kind", "partner", "to"], "left").select("kind", "partner", "core", F.coalesce("to2", "to").alias("to"), F.col("to2").isNotNull().alias("went"))
+        longer = checkpoint(longer)  # the paths double in length: few rounds
+        if longer.where("went").isEmpty():
+            return longer.drop("went")
+        moved = longer.drop("went")
+
+
 def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: int = 300, least: float = 0.8) -> DataFrame:
     """(value, entity) for every distinct value.
 
@@ -260,26 +302,24 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
     block = ["kind", "partner", "key"]
     sized = keyed.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
     keyed = checkpoint(keyed.join(sized.where(F.col("size") > 1), block))
-    small = keyed.where(F.col("size") <= common)
-    # too short for a suffix to be whole, or too common even with the partner
-    short = cores.where(F.length("core") <= 6)
-    cut = _deletion_keys(keyed.where(F.col("size") > common).select(*short.columns).union(short).distinct())
+    columns = [*cores.columns, "key"]
+    rare = keyed.where(F.col("size") <= common).select(*columns)
+    refined = _refined(keyed.where(F.col("size") > common).select(*columns), least)
+    # too short for a suffix to be whole
+    short = _deletion_keys(cores.where(F.length("core") <= 6)).select(*columns)
 
     def meet(k: DataFrame) -> DataFrame:
         cols = ["kind", "partner", "key"]
         a = k.select(*cols, F.col("core").alias("a"), F.col("n").alias("na"), F.col("ok").alias("oka"))
         b = k.select(*cols, F.col("core").alias("b"), F.col("n").alias("nb"), F.col("ok").alias("okb"), F.col("sure").alias("sureb"))
         better = (F.col("okb") > F.col("oka")) | ((F.col("okb") == F.col("oka")) & ((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))))
-        return a.join(b, cols).where((F.col("oka") == 0) & (F.col("a") != F.col("b")) & better & (F.abs(F.length("a") - F.length("b")) <= 1))
+        return a.join(b, cols).where((F.col("oka") == 0) & (F.col("a") != F.col("b")) & better & (F.abs(F.length("a") - F.length("b")) <= 2))
 
     cols = ["kind", "partner", "a", "b", "okb", "nb", "sureb"]
-    met = checkpoint(meet(small).select(*cols).union(meet(cut).select(*cols)).distinct())
+    met = checkpoint(meet(rare).select(*cols).union(meet(refined).select(*cols)).union(meet(short).select(*cols)).distinct())
     near = _compare(met.select("kind", "partner", "a", "b").distinct(), least).join(met, ["kind", "partner", "a", "b"])
     best = checkpoint(near).groupBy("kind", "a", "partner").agg(F.max_by("b", F.struct("okb", "sureb", "nb", "ratio", F.col("b"))).alias("b"))
-    moved = best.select("kind", "partner", F.col("a").alias("core"), F.col("b").alias("to"))
-    again = moved.select("kind", "partner", F.col("core").alias("to"), F.col("to").alias("to2"))
-    moved = moved.join(again, ["kind", "partner", "to"], "left").select("kind", "partner", "core", F.coalesce("to2", "to").alias("to"))
-    moved = checkpoint(moved)
+    moved = _followed(checkpoint(best.select("kind", "partner", F.col("a").alias("core"), F.col("b").alias("to"))))
     # each reading (core as corrected under a partner) of each value
     readings = checkpoint(long.join(moved, ["kind", "partner", "core"], "left").select("value", "kind", "sure", "partner", F.coalesce("to", "core").alias("core"), "ok", F.col("to").isNotNull().alias("fixed")))
     vouch = readings.where(F.col("sure") == 1).select("kind", "partner", "core").distinct().withColumn("known", F.lit(1))

@@ -92,3 +92,53 @@ def test_errors_in_short_cores(spark):
     none = spark.createDataFrame([], "core string"), spark.createDataFrame([], "value string, partner string")
     few, many = ({(r.value, r.entity) for r in names.link(values, *none, common=c).collect()} for c in (1, 10**6))
     assert few == many
+
+
+def _damaged(rng, core, letters, edits):
+    for _ in range(edits):
+        i, kind = rng.randrange(len(core)), rng.choice("sdiw")
+        if kind == "s":
+            core = core[:i] + rng.choice(letters) + core[i + 1 :]
+        elif kind == "d" and len(core) > 4:
+            core = core[:i] + core[i + 1 :]
+        elif kind == "w" and i + 1 < len(core):
+            core = core[:i] + core[i + 1] + core[i] + core[i + 2 :]
+        else:
+            core = core[:i] + rng.choice(letters) + core[i:]
+    return core
+
+
+def test_one_edit_anywhere_and_every_block_size(spark):
+    rng, letters = random.Random(11), "bdfgklmnprstvz"
+    rows, right = [], []
+    for n, given in enumerate(g for g in names.GIVEN for _ in range(2)):
+        core = "".join(rng.choice(letters) for _ in range(4 + n % 7))
+        wrong = _damaged(rng, core, letters, 1)
+        if wrong != core and len(wrong) >= 4:
+            right.append((f"{given} {core}", f"{given} {wrong}"))
+            rows += [(given, core, 1), (given, wrong, 0)]
+    # one partner with many cores around the same ones: common blocks
+    base = ["".join(rng.choice(letters) for _ in range(k)) for k in (6, 7, 9, 12, 15)]
+    crowd = {_damaged(rng, b, letters, rng.randint(0, 3)) for b in base for _ in range(40)}
+    rows += [("maria", c, int(c in base)) for c in crowd]
+    values = spark.createDataFrame([(f"{g} {c}",) for g, c, _ in rows], "value string").distinct()
+    vouched = spark.createDataFrame([(c,) for _, c, ok in rows if ok], "core string")
+    seen = spark.createDataFrame([], "value string, partner string")
+    out = [{r.value: r.entity for r in names.link(values, vouched, seen, common=c).collect()} for c in (1, 10**6)]
+    assert out[0] == out[1]
+    lone = [(a, b) for a, b in right if not a.startswith("maria ") and len(b.split()[1]) >= 4]
+    taken = {c for _, c, ok in rows if ok}
+    lost = [(a, b) for a, b in lone if out[0][a] != out[0][b] and b.split()[1] not in taken]
+    # two cores of one given name may both be near: the better one is taken
+    assert len(lost) <= 1, lost
+
+
+def test_ratio_decides():
+    assert names.alike("torvelini", "torvleini") and names.alike("ansealavetti", "anseallaveti") and not names.alike("torvelini", "torvanoni")
+    assert names.alike("neri", "nera") and not names.alike("nei", "nex") and names.alike("nei", "neri") and not names.alike("abcdefghij", "abcdefg")
+    rng = random.Random(3)
+    for _ in range(400):
+        suffix, a = "xyz", "".join(rng.choice("abc") for _ in range(rng.randint(4, 7)))
+        b = _damaged(rng, a, "abc", rng.randint(1, 2))
+        if names.alike(a + suffix, b + suffix):
+            assert set(names.rests(a, len(a) + 3)) & set(names.rests(b, len(b) + 3)), (a, b)
