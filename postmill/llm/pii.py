@@ -3,8 +3,11 @@
 Texts are cut into tokens by one pattern; a token's features depend only on its own spelling, so they
 are computed once for each distinct token and become one row of weights for each place around it.
 Scores of a whole batch are then sums of table rows, and labels come from Viterbi in numpy, run for
-all stretches of equal length at once. A token for which every label but "none" trails by more than
-``MARGIN`` is set to none beforehand; it cuts the text into these stretches.
+all stretches of equal length at once. A token is set to none beforehand where the transitions, and what
+the next token would lose by beginning a mention instead of going on with one, prove that no best path
+labels it otherwise (``Tagger.open``); such tokens cut the text into these stretches. In a part of the
+training rows a listed given name is no such feature, so that names are learned from their shape and
+surroundings too.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from postmill.llm.names import GIVEN, SHORT, TITLES
 KINDS = ("name", "email", "phone", "id_number", "address")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 NONE = 0
-MARGIN = 6.5
 OFFSETS = (-2, -1, 0, 1, 2)
+UNLISTED = 4  # in each fourth training row given names are not known as such
 #: Placeholders by kind. Fixed values.
 PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
 
@@ -81,8 +84,8 @@ def core(token: str) -> str:
     return token.rstrip(" \t\n>|") or token.strip() or " "
 
 
-def features(token: str, own: bool) -> list[str]:
-    """Features of a token for its own label, or fewer of them for its neighbours'."""
+def features(token: str, own: bool, listed: bool = True) -> list[str]:
+    """Features of a token for its own label, or fewer of them for its neighbours'; ``listed``: whether given names count as such."""
     word = core(token)
     low = word.lower()
     if "@" in word or "(at)" in low:
@@ -109,7 +112,10 @@ def features(token: str, own: bool) -> list[str]:
         out = [f"k={kind}", "w=" + low]
         if low in (_FULL if lower else _GIVEN):
             # which given name it is must not matter
-            out = [f"k={kind}", "given", "given" + kind] + (["givennl"] if own and "\n" in token else [])
+            if listed or lower:
+                out = [f"k={kind}", "given", "given" + kind] + (["givennl"] if own and "\n" in token else [])
+            else:
+                out = [f"k={kind}"] + (["e3=" + low[-3:] + kind[0], "long" + kind if len(low) > 6 else "short" + kind] if own or kind != "low" else [])
         elif low.rstrip(".") in _TITLES or low in _TITLES:
             out.append("title")
         elif low.rstrip(".") in _ROADS or low in _ROADS:
@@ -138,8 +144,33 @@ class Tagger:
         self.seen: dict[str, int] = {}
         self.table = np.zeros((len(OFFSETS), 1024, len(LABELS)), np.float32)
         self.cut = np.zeros(1024, np.int32)
+        self.reach = self._reach()
         self.row(" ")  # row 0 stands for no token
 
+    def _reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the transitions can give a label over none at most: where the mention ends with it, and where the next token goes on."""
+        m, k = self.moves, len(LABELS)
+        ends, goes = np.zeros(k, np.float32), np.zeros(k, np.float32)
+        real = m > -1e3
+        for y in range(1, k):
+            first, inner = (y - 1) // 2 * 2 + 1, (y - 1) // 2 * 2 + 2
+            before = max(m[p, y] - m[p, NONE] for p in range(k) if real[p, y])
+            ends[y] = before + max(m[y, n] - m[NONE, n] for n in range(k) if real[y, n] and real[NONE, n])
+            goes[y] = before + m[y, inner] - m[NONE, first] + max(m[inner, n] - m[first, n] for n in range(k) if real[inner, n] and real[first, n])
+        return ends, goes
+
+    def open(self, e: np.ndarray) -> np.ndarray:
+        """Which tokens may have another label than none on a best path.
+
+        If a token had one, none could take its place: the next token, where it goes on with the mention,
+        would begin it. What that costs at most is proven by the emissions of both and the transitions.
+        """
+        ends, goes = self.reach
+        gain = e[:, 1:] - e[:, :1]
+        lost = np.full((len(e), len(KINDS)), -np.inf, np.float32)
+        lost[:-1] = e[1:, 2::2] - e[1:, 1::2]
+        return (gain + np.maximum(ends[1:], goes[1:] + np.repeat(lost, 2, axis=1)) >= -1e-3).any(axis=1)
+
     def row(self, token: str) -> int:
         """The table row of a token; tokens with equal features share one."""
         own = tuple(sorted(i for f in features(token, True) if (i := self.index.get("o:" + f)) is not None))
@@ -181,14 +212,16 @@ class Tagger:
                 e += self.table[k][padded[2 + o : 2 + o + n]]
         return e
 
-    def labels(self, rows: np.ndarray, margin: float = MARGIN) -> np.ndarray:
-        """The best label of every token."""
+    def labels(self, rows: np.ndarray, gaps: np.ndarray | None = None) -> np.ndarray:
+        """The best label of every token; the places ``gaps`` are none."""
         n = len(rows)
         out = np.zeros(n, np.int8)
         if not n:
             return out
         e = self.emissions(rows)
-        open_ = e[:, 1:].max(axis=1) > e[:, NONE] - margin
+        open_ = self.open(e)
+        if gaps is not None:
+            open_[gaps] = False
         edge = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]]).astype(np.int8)))
         starts, sizes = edge[::2], edge[1::2] - edge[::2]
         order = np.argsort(-sizes, kind="stable")
@@ -231,9 +264,7 @@ class Tagger:
         ends = np.array(bounds, np.int64)
         for gap in (1, 2):
             rows[ends - gap] = 0
-        labels = self.labels(rows)
-        for gap in (1, 2):
-            labels[ends - gap] = NONE
+        labels = self.labels(rows, np.concatenate([ends - 1, ends - 2]))
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         for gap in (1, 2):
             sizes[ends - gap] = 0
@@ -314,13 +345,15 @@ def settle(kind: str, text: str, s: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
-def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, epochs: int = 60, l2: float = 1e-3, rate: float = 0.6) -> Tagger:
+def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, epochs: int = 60, l2: float = 1e-3, rate: float = 0.6, unlisted: int = UNLISTED, prior: bool = True) -> Tagger:
     """Fit the field by its likelihood (batched forward-backward, adaptive steps).
 
-    The labelled table is a bounded input of the repository; training takes seconds on the driver.
+    The labelled table is a bounded input of the repository; training takes seconds on the driver. In each
+    ``unlisted``-th row given names are not known as such (0: in none).
     """
     rows = rows if rows is not None else pii_labels.sentences()
     spots, gold, lengths = [], [], []
+    listed = [not unlisted or i % unlisted > 0 for i in range(len(rows))]
     for text, mentions in rows:
         tokens = split(text)
         begin = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
@@ -335,10 +368,10 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, epoc
         lengths.append(len(tokens))
     index: dict[str, int] = {}
     seen: dict[str, int] = {}
-    for tokens in spots:
+    for tokens, known in zip(spots, listed, strict=True):
         for t in tokens:
             for p, own in (("o:", True), ("n:", False)):
-                for f in features(t, own):
+                for f in features(t, own, known):
                     seen[p + f] = seen.get(p + f, 0) + 1
     for f, n in seen.items():
         # words seen but a few times are invented values: they must not be remembered
@@ -346,11 +379,11 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, epoc
             index[f] = len(index)
     kinds: dict[tuple, int] = {}
     owns, nears, ids = [], [], []
-    for tokens in spots:
+    for tokens, known in zip(spots, listed, strict=True):
         mine = []
         for t in tokens:
-            own = tuple(index[f] for x in features(t, True) if (f := "o:" + x) in index)
-            near = tuple(index[f] for x in features(t, False) if (f := "n:" + x) in index)
+            own = tuple(index[f] for x in features(t, True, known) if (f := "o:" + x) in index)
+            near = tuple(index[f] for x in features(t, False, known) if (f := "n:" + x) in index)
             key = (own, near)
             if key not in kinds:
                 kinds[key] = len(kinds)
@@ -363,11 +396,11 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, epoc
     near_at, near_f = flat(nears)
     k, nf, nt = len(LABELS), len(index), len(kinds)
     w = np.zeros((len(OFFSETS), nf, k))
-    for f, (label, weight) in PRIOR.items():
+    for f, (label, weight) in PRIOR.items() if prior else ():
         if "o:" + f in index:
             for name in label.split():
                 w[OFFSETS.index(0), index["o:" + f], LABELS.index(name)] = weight
-    prior = w.copy()
+    pulled = w.copy()
     moves = np.zeros((k, k))
     banned = np.zeros((k, k), bool)
     for j, label in enumerate(LABELS):
@@ -427,7 +460,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]] | None = None, epoc
                 at, f = (own_at, own_f) if o == 0 else (near_at, near_f)
                 by = np.zeros((nt + 1, k))
                 np.add.at(by, x[:, 2 + o : 2 + o + size][real], p[real])
-                g = l2 * (w[q] - prior[q])
+                g = l2 * (w[q] - pulled[q])
                 np.add.at(g, f, by[at])
                 grad_w[q] += g * g
                 w[q] -= rate * g / np.sqrt(grad_w[q])

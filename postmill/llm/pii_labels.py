@@ -387,11 +387,11 @@ class Filler:
         }[name]()
 
 
-def sentences(copies: int = 12, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def sentences(copies: int = 12, seed: int = 11, rows: list[str] | None = None) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """(text, mentions) of the filled rows; a mention is (kind, start, end), end exclusive, from 0."""
     fill, out = Filler(seed), []
     for k in range(copies):
-        for row in ROWS:
+        for row in ROWS if rows is None else rows:
             row = row.replace(" / ", "\n")
             row = _SURNAME_AS_PART.sub(lambda m: m.group(1) + " " + fill.surname(), row)
             row = re.sub(r"\{(\w+)\}", lambda m: fill.slot(m.group(1)), row)

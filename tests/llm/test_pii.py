@@ -79,3 +79,38 @@ def test_redacted_query_has_every_field(spark, tmp_path):
     assert got["m2", None, "subject"] is None and got["m3", None, "subject"] == "Avviso"
     assert got["m1", 1, "body"] == "Il referente è [NAME]."
     assert got[None, 2, "body"] is None and got[None, 2, "attachments"] == ""
+
+
+def test_open_tokens_lose_nothing(tagger):
+    """Decoding only what may be a mention gives the best path of the whole text."""
+    for text, _ in pii_labels.sentences(1, seed=5)[:120]:
+        rows = np.array(tagger.rows_of(pii.split(text)), np.int64)
+        e = tagger.emissions(rows)
+        out = np.zeros(len(rows), np.int8)
+        tagger._viterbi(e, np.array([0]), np.array([len(rows)]), out)
+
+        def score(path, e=e):
+            return tagger.moves[0, path[0]] + tagger.moves[path[-1], 0] + sum(e[t, y] for t, y in enumerate(path)) + sum(tagger.moves[x, y] for x, y in itertools.pairwise(path))
+
+        assert abs(score(out.tolist()) - score(tagger.labels(rows).tolist())) < 1e-2, text
+
+
+def test_held_out_templates():
+    rows = list(pii_labels.ROWS)
+    model = pii.train(pii_labels.sentences(rows=[r for i, r in enumerate(rows) if i % 5]))
+    hit = wrong = missed = 0
+    test = pii_labels.sentences(4, 77, rows[::5])
+    for (_, want), got in zip(test, model.mentions([t for t, _ in test]), strict=True):
+        a, b = {(k, s + 1, e) for k, s, e in want}, set(got)
+        hit, wrong, missed = hit + len(a & b), wrong + len(b - a), missed + len(a - b)
+    assert hit / (hit + wrong) > 0.93 and hit / (hit + missed) > 0.97, (hit, wrong, missed)
+
+
+def test_names_that_no_list_holds(tagger):
+    people = "Noemi Ferrero;Wolfgang Müller;Kevin Smith;Giada Colombo;Nikolai Petrov;Ines Halloway;Tariq Mansour;Ewa Kowalska".split(";")
+    around = ["Il referente è {}, raggiungibile al numero 303 4521347.", "Ho sentito {} ieri pomeriggio.", "Per ogni chiarimento può chiamare {} al 303 4521347.", "Avv. {}\nVia dei Tigli 4"]
+    found = 0
+    for c in around:
+        at = c.index("{}") + 1
+        found += sum(("name", at, at + len(p) - 1) in got for p, got in zip(people, tagger.mentions([c.format(p) for p in people]), strict=True))
+    assert found >= 0.9 * len(people) * len(around)
