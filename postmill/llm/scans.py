@@ -2,8 +2,10 @@
 
 Lines: a boosted classifier over a line and its neighbours finds page numbers and running heads, a
 second one over a line and the next line of running text finds cut words. Words: those of scanned
-texts that no clean text holds are compared with words that clean texts hold; candidates come from an
-inverted join on character q-grams, and boosted ranking over the pair chooses a replacement or none.
+texts that no clean text holds, and all that have signs no word has, are compared with words that clean
+texts hold; candidates come from an inverted join on character q-grams, and boosted ranking over the pair
+chooses a replacement or none. What the signs must have been (``plain_form``) is a feature of the pair and
+a second spelling to look for; it is taken as it is only where no clean word is chosen, as with names.
 All three classifiers are trained on pages built from a small table of sentences (``training_page``).
 """
 
@@ -282,12 +284,13 @@ def word_features(word: str, other: str, df_other: int, df_word: int) -> list[fl
     """Features of a scanned word and a word it may stand for."""
     d = scan_distance(word, other)
     odd = sum(not ch.isalpha() for ch in word)
-    return [d, lcs_ratio(word, other), len(word), abs(len(word) - len(other)), float(odd), math.log10(df_other + 1), math.log10((df_word + 0.5) / (df_other + 0.5)), d / max(len(other), 1), float(any(c in _SPECKS for c in word)), float(word[-1:] != other[-1:])]
+    return [d, lcs_ratio(word, other), len(word), abs(len(word) - len(other)), float(odd), math.log10(df_other + 1), math.log10((df_word + 0.5) / (df_other + 0.5)), d / max(len(other), 1), float(any(c in _SPECKS for c in word)), float(word[-1:] != other[-1:]), float(plain_form(word) == other)]
 
 
 _CODE = re.compile(r"@|://|www\.|\d.*\d|^[A-Z]{2,}[\dA-Z-]*\d|\.\w+\.|^<|chiocciola")
 
 
+@lru_cache(maxsize=100_000)
 def plain_form(token: str) -> str | None:
     """What an odd token must have been, without any lexicon, or None where nothing about it is odd."""
     if _CODE.search(token) or len(token) < 2:
@@ -383,31 +386,40 @@ def clean_words(df: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n_clean long").groupBy("word").agg(F.sum("n_clean").alias("n_clean"))
 
 
+def _grams(word, near: bool, q: int):
+    """Distinct q-grams of a word between its borders as a Column; short words share no longer q-gram with what they stand for."""
+    padded = F.concat(F.lit("^"), word, F.lit("$"))
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    size = F.length(word)
+    return F.array_distinct(F.concat(F.when(size > (2 if near else 4), cut(q)).otherwise(none), F.when(size <= (6 if near else 4), cut(q - 1)).otherwise(none)))
+
+
 def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, least_clean: int = 3) -> DataFrame:
     """(word, page): scanned words and what the page had.
 
-    ``odd`` has (word, n_scan) of words that no clean text holds, ``counts`` those of clean texts.
-    Candidates are clean words of nearly the same length that share q-grams; the inverted join is on
-    (q-gram, length), so a frequent q-gram meets only words of its own length.
+    ``odd`` has (word, n_scan, plain): words that no clean text holds, or that have signs no word has, then
+    with their plain form. ``counts`` are those of clean texts. Candidates are clean words of nearly the
+    same length that share enough q-grams with the word or its plain form; the inverted join is on
+    (q-gram, length). Of n q-grams of which m must be shared, n - m + 1 meet any candidate: the rarest are
+    taken, so that a frequent q-gram is joined only for words that have nothing rarer.
     """
-    odd = odd.where((F.length("word") >= 2) & ~F.col("word").rlike(r"\d.*\d"))
+    odd = odd.where((F.length("word") >= 2) & (F.col("plain").isNotNull() | ~F.col("word").rlike(r"\d.*\d")))
     good = counts.where((F.col("n_clean") >= least_clean) & F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.length("word") >= 2))
-
-    def grams(d: DataFrame, near: bool) -> DataFrame:
-        padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-        cut = lambda k: F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i: F.substring(padded, i, F.lit(k)))
-        # short words share no longer q-gram with what they stand for
-        short = F.length("word") <= (6 if near else 4)
-        long = F.length("word") > (2 if near else 4)
-        listed = F.concat(F.when(long, cut(q)).otherwise(F.array().cast("array<string>")), F.when(short, cut(q - 1)).otherwise(F.array().cast("array<string>")))
-        d = d.withColumn("gram", F.explode(F.array_distinct(listed)))
-        sizes = F.array(*[F.length("word") + k for k in (-2, -1, 0, 1, 2)]) if near else F.array(F.length("word"))
-        return d.withColumn("size", F.explode(sizes))
-
-    a = grams(odd.select("word", "n_scan"), False)
-    b = grams(good.select("word", "n_clean"), True).select(F.col("word").alias("page"), "n_clean", "gram", "size")
-    least = F.greatest(F.lit(1), F.floor((F.length("word") + 2) / 3).cast("int") - 1)
-    near = a.join(b, ["gram", "size"]).groupBy("word", "page").agg(F.count(F.lit(1)).alias("shared"), F.max("n_scan").alias("n_scan"), F.max("n_clean").alias("n_clean")).where(F.col("shared") >= least)
+    b = good.select(F.col("word").alias("page"), "n_clean", F.explode(_grams(F.col("word"), True, q)).alias("gram"))
+    held = b.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    b = b.withColumn("size", F.explode(F.array(*[F.length("page") + k for k in (-2, -1, 0, 1, 2)])))
+    forms = odd.select("word", "n_scan", F.explode(F.array_distinct(F.array_compact(F.array("word", F.lower("plain"))))).alias("form")).where(F.length("form") >= 2)
+    least = F.greatest(F.lit(1), F.floor((F.length("form") + 2) / 3).cast("int") - 1)
+    own = _grams(F.col("form"), False, q)
+    a = forms.select("word", "n_scan", "form", F.explode(own).alias("gram")).join(held, "gram")
+    # q-grams that no clean word has are shared with none: the others are ordered by rarity
+    ranked = a.groupBy("word", "form").agg(F.max("n_scan").alias("n_scan"), F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g"))
+    missing = F.size(own) - F.size("g")
+    taken = F.slice("g", 1, F.greatest(F.size(own) - least + 1 - missing, F.lit(0)))
+    a = ranked.select("word", "form", "n_scan", F.explode(taken).alias("t")).select("word", "form", "n_scan", F.col("t.gram").alias("gram"), F.length("form").alias("size"))
+    near = a.join(b, ["gram", "size"]).select("word", "form", "n_scan", "page", "n_clean").distinct()
+    near = near.where(F.size(F.array_intersect(own, _grams(F.col("page"), True, q))) >= least).select("word", "n_scan", "page", "n_clean").distinct()
 
     def choose(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -443,9 +455,9 @@ def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common
     def read(body: str, pages: int | None) -> list[tuple]:
         known = common.value
         _, furniture, cuts, words = reader.read(body, pages)
-        out: list[tuple] = [(k + 1, "page_furniture", None, None, None, 0) for k in furniture]
+        out: list[tuple] = [(k + 1, "page_furniture", None, None, None, 0, None) for k in furniture]
         for k, (j, joined, whole) in cuts.items():
-            out.append((k + 1, "cut", j + 1, joined.lower(), whole.lower(), 0))
+            out.append((k + 1, "cut", j + 1, joined.lower(), whole.lower(), 0, None))
         for k, j, n, token in words:
             low = token.lower()
             if low in known:
@@ -453,30 +465,35 @@ def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common
             new = plain_form(token)
             if new is not None:
                 at = next((i for i, (a, b) in enumerate(zip(token, new + " " * len(token), strict=False)) if a != b), 0)
-                out.append(((j if n and at >= n else k) + 1, "misread", None, token, new, 0))
+                out.append(((j if n and at >= n else k) + 1, "odd", None, low, token, 0, new))
             elif len(token) >= 2 and not _CODE.search(token) and any(ch.isalpha() for ch in token):
-                out.append((k + 1, "word", j + 1, low, token, n))
+                out.append((k + 1, "word", j + 1, low, token, n, None))
         return out
 
     texts = base.where(scanned(base) & (F.length("text") > 0))
     # the name of a person is written as it is: inside a sentence only lower case words are compared
-    seen = fan_out(texts, ["text", "pages"], ["key"], {"line_no": "int", "fault": "string", "line_to": "int", "word": "string", "page": "string", "border": "int"}, read, rows=256)
+    seen = fan_out(texts, ["text", "pages"], ["key"], {"line_no": "int", "fault": "string", "line_to": "int", "word": "string", "page": "string", "border": "int", "plain": "string"}, read, rows=256)
     seen = checkpoint(seen)
-    sure = seen.where(F.col("fault").isin("page_furniture", "misread")).select("key", "line_no", "fault", F.lit(None).cast("int").alias("line_to"), "word", "page")
+    sure = seen.where(F.col("fault") == "page_furniture").select("key", "line_no", "fault", F.lit(None).cast("int").alias("line_to"), "word", "page")
     cuts = seen.where(F.col("fault") == "cut")
     joined = counts.select("word", (F.col("n_clean") + F.lit(0)).alias("n_joined"))
     whole = counts.select(F.col("word").alias("page"), F.col("n_clean").alias("n_whole"))
     cuts = cuts.join(joined, "word", "left").join(whole, "page", "left").where(F.coalesce("n_whole", F.lit(0)) <= F.coalesce("n_joined", F.lit(0)))
     cuts = cuts.select("key", "line_no", F.lit("split_word").alias("fault"), "line_to", "word", F.lit(None).cast("string").alias("page"))
-    rare = seen.where(F.col("fault") == "word")
-    odd = rare.groupBy("word").agg(F.countDistinct("key").alias("n_scan")).join(counts, "word", "left_anti")
-    fixes = corrections(odd, counts, models.rank)
+    rare, signs = seen.where(F.col("fault") == "word"), seen.where(F.col("fault") == "odd")
+    unheld = rare.groupBy("word").agg(F.countDistinct("key").alias("n_scan")).join(counts, "word", "left_anti").withColumn("plain", F.lit(None).cast("string"))
+    odd = unheld.unionByName(signs.groupBy("word").agg(F.countDistinct("key").alias("n_scan"), F.max("plain").alias("plain")))
+    fixes = checkpoint(corrections(odd, counts, models.rank))
+    # the clean word that ranking chose; where the plain form is the same, with the letter case it has
+    signs = signs.join(fixes.withColumnRenamed("page", "fixed"), "word", "left")
+    chosen = F.when(F.lower("plain") == F.col("fixed"), F.col("plain")).otherwise(F.coalesce("fixed", "plain"))
+    signs = signs.select("key", "line_no", F.lit("misread").alias("fault"), F.lit(None).cast("int").alias("line_to"), F.col("page").alias("word"), chosen.alias("page"))
     words = rare.join(fixes.withColumnRenamed("page", "fixed"), "word")
     # the first character that differs says on which line of a cut word the misread part stands
     same = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(1)) == F.substring("fixed", i, F.lit(1)))
     late = (F.col("border") > 0) & (F.array_position(same, False) > F.col("border"))
     words = words.select("key", F.when(late, F.col("line_to")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("fault"), F.lit(None).cast("int").alias("line_to"), F.col("page").alias("word"), F.col("fixed").alias("page"))
-    return sure.unionByName(cuts).unionByName(words).withColumnRenamed("key", key)
+    return sure.unionByName(cuts).unionByName(signs).unionByName(words).withColumnRenamed("key", key)
 
 
 def repair(df: DataFrame, key: str = "extraction_id", text: str = "text", models: Models | None = None) -> DataFrame:
@@ -491,14 +508,27 @@ def repair(df: DataFrame, key: str = "extraction_id", text: str = "text", models
     return fan_out(full, ["body", "scan", "found"], [key], {"text": "string"}, lambda body, scan, found: [(paragraphs(body, found or []) if scan and body else body,)], rows=256)
 
 
+def _mended(text: str, word: str, page: str) -> str | None:
+    """The text with the first whole occurrence of a misread word put right, or None where it has none."""
+    new = page[:1].upper() + page[1:] if word[:1].isupper() and page[:1].islower() else page
+    out, n = re.subn(rf"(?<!\w){re.escape(word)}(?!\w)", lambda m: new, text, count=1)
+    return out if n else None
+
+
 def paragraphs(body: str, found: list[dict]) -> str:
-    """The text with its faults mended and its lines joined; blank lines part paragraphs."""
+    """The text with its faults mended and its lines joined; blank lines part paragraphs.
+
+    A misread word is put right on the line where it was found; one that was cut, after its parts are joined.
+    """
     lines = body.split("\n")
     furniture = {f["line_no"] - 1 for f in found if f["fault"] == "page_furniture"}
     cuts = {f["line_no"] - 1 for f in found if f["fault"] == "split_word"}
-    fixes = [(f["word"], f["page"]) for f in found if f["fault"] == "misread"]
-    out, now = [], ""
-    glue = False
+    fixes: dict[int, list[tuple[str, str]]] = {}
+    for f in found:
+        if f["fault"] == "misread" and f["page"] and f["page"] != f["word"]:
+            fixes.setdefault(f["line_no"] - 1, []).append((f["word"], f["page"]))
+    out, now, glue = [], "", False
+    waiting: list[tuple[str, str]] = []
     for k, line in enumerate(lines):
         if k in furniture:
             continue
@@ -506,20 +536,29 @@ def paragraphs(body: str, found: list[dict]) -> str:
         if not s:
             if now and not glue:
                 out.append(now)
-                now = ""
+                now, waiting = "", []
             continue
+        for fix in fixes.get(k, ()):
+            mended = _mended(s, *fix)
+            if mended is None:
+                waiting.append(fix)
+            else:
+                s = mended
         now = now + s if glue else f"{now} {s}" if now else s
         glue = k in cuts
         if glue:
             now = now[:-1]
+        left = []
+        for fix in waiting:
+            mended = _mended(now, *fix)
+            if mended is None:
+                left.append(fix)
+            else:
+                now = mended
+        waiting = left
     if now:
         out.append(now)
-    text = "\n\n".join(out)
-    for word, page in fixes:
-        if page and page != word:
-            new = page[:1].upper() + page[1:] if word[:1].isupper() and page[:1].islower() else page
-            text = re.sub(rf"(?<!\w){re.escape(word)}(?!\w)", lambda m, new=new: new, text)
-    return text
+    return "\n\n".join(out)
 
 
 def found(df: DataFrame, key: str = "extraction_id") -> DataFrame:

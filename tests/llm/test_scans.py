@@ -75,3 +75,41 @@ def test_faults_and_repair(spark, models):
     assert texts[1].startswith("La notifica della perizia è andata a buon fine il parere") and texts[1].endswith("resta immutato")
     assert texts[2] is None and texts[3] == "" and len(texts) == df.count()
     assert scans.found(df.limit(0)).count() == 0
+
+
+def test_ranking_reads_odd_signs(spark, models):
+    """Words with impossible signs go through candidates and ranking too; the plain form is left for names."""
+    clean = [("notifica", 40), ("fornace", 30), ("volta", 50), ("perché", 20), ("sospensione", 9)]
+    odd = [("n0tifica", 1, "notifica"), ("fo^rnacc", 1, "fornacc"), ("v()lta", 2, "volta"), ("zorl0ravaro", 1, "zorloravaro"), ("sospensi0nc", 1, None), ("volta", 1, None)]
+    fixes = scans.corrections(spark.createDataFrame(odd, "word string, n_scan long, plain string"), spark.createDataFrame(clean, "word string, n_clean long"), models.rank)
+    got = {r.word: r.page for r in fixes.collect()}
+    assert got["n0tifica"] == "notifica" and got["fo^rnacc"] == "fornace" and got["v()lta"] == "volta" and "zorl0ravaro" not in got
+
+
+def test_rare_grams_meet_every_candidate(spark, models):
+    """The prefix of rare q-grams loses no pair that shares enough of them."""
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(3, 9))) for _ in range(120)})
+
+    class Any:
+        def predict(self, x):
+            return np.ones(len(x))
+
+    odd = [(w, 1, None) for w in words[::4]]
+    good = [(w, 5) for k, w in enumerate(words) if k % 4]
+    fixes = scans.corrections(spark.createDataFrame(odd, "word string, n_scan long, plain string"), spark.createDataFrame(good, "word string, n_clean long"), Any())
+
+    def grams(w, near):
+        p = f"^{w}$"
+        return {p[i : i + 3] for i in range(len(p) - 2) if len(w) > (2 if near else 4)} | {p[i : i + 2] for i in range(len(p) - 1) if len(w) <= (6 if near else 4)}
+
+    def fits(w, c):
+        return abs(len(w) - len(c)) <= 2 and len(grams(w, False) & grams(c, True)) >= max(1, (len(w) + 2) // 3 - 1) and scans.scan_distance(w, c) <= (0.35 if len(w) < 4 else 1.0)
+
+    want = {w for w, _, _ in odd if any(fits(w, c) for c, _ in good)}
+    assert {x.word for x in fixes.collect()} == want
+
+
+def test_words_mended_where_they_stand():
+    found = [{"line_no": 1, "fault": "misread", "line_to": None, "word": "cosa", "page": "casa"}, {"line_no": 3, "fault": "split_word", "line_to": 4, "word": "notifiea", "page": None}, {"line_no": 3, "fault": "misread", "line_to": None, "word": "notifiea", "page": "notifica"}]
+    assert scans.paragraphs("la cosa\nuna cosa\nla noti-\nfiea resta", found) == "la casa una cosa la notifica resta"
