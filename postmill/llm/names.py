@@ -337,11 +337,11 @@ def link(values: DataFrame, vouched: DataFrame, seen_with: DataFrame, common: in
     return whole.select("value", F.coalesce("entity", alone).alias("entity"))
 
 
-def variants(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), address: str = "from_addr") -> DataFrame:
-    """(name_a, name_b): each pair of different typed values that mean the same person or organisation.
+def entities(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), address: str = "from_addr") -> DataFrame:
+    """(value, entity): every typed value and a key that all spellings of one person or organisation share.
 
     Null, empty and address-like values (with @) are no values; repeated rows count once; values are
-    compared and returned exactly as stored, name_a the smaller in byte order.
+    compared and returned exactly as stored.
     """
     listed = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in names])).alias("value"))
     values = listed.where(F.col("value").isNotNull() & (F.col("value") != "") & ~F.contains("value", F.lit("@"))).distinct()
@@ -357,7 +357,19 @@ def variants(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), ad
     # an address that several writers share says nothing certain: keep a hint only where it is the value's only one
     only = Window.partitionBy("value")
     seen = seen.withColumn("_n", F.count(F.lit(1)).over(only)).where(F.col("_n") == 1).drop("_n")
-    linked = checkpoint(link(values, vouched, seen))
+    return link(values, vouched, seen)
+
+
+def members(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), address: str = "from_addr") -> DataFrame:
+    """(name, representative): each typed value and the smallest spelling, in byte order, of whom it means; grows with the values only."""
+    linked = checkpoint(entities(df, names, address))
+    smallest = linked.groupBy("entity").agg(F.min("value").alias("representative"))
+    return linked.join(smallest, "entity").select(F.col("value").alias("name"), "representative")
+
+
+def variants(df: DataFrame, names: tuple[str, ...] = ("from_name", "client"), address: str = "from_addr") -> DataFrame:
+    """(name_a, name_b): each pair of different typed values that mean the same, name_a the smaller in byte order; see ``entities``."""
+    linked = checkpoint(entities(df, names, address))
     a = linked.select("entity", F.col("value").alias("name_a"))
     b = linked.select("entity", F.col("value").alias("name_b"))
     return a.join(b, "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")

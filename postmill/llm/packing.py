@@ -127,18 +127,12 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
         import pandas as pd
 
         table = slots.value
-        code = (table[:, 0] << np.int64(24) | table[:, 1]).astype(np.int64)
-        starts: dict[int, np.ndarray] = {}
-        for c in np.unique(code):
-            starts[int(c)] = np.flatnonzero(code == c)
+        runs = pd.DataFrame(table[:, :2], columns=["container_id", "n"]).groupby(["container_id", "n"]).indices
         for b in batches:
-            own = (b["container_id"].to_numpy(np.int64) << np.int64(24)) | b["n"].to_numpy(np.int64)
             rank, bin_id = b["_rank"].to_numpy(np.int64), np.full(len(b), -1, np.int64)
-            for c in np.unique(own):
-                if int(c) not in starts:
+            for kind, at in b.groupby(["container_id", "n"]).indices.items():
+                if (run := runs.get(kind)) is None:
                     continue
-                at = np.flatnonzero(own == c)
-                run = starts[int(c)]
                 k = run[np.searchsorted(table[run, 2], rank[at], side="right") - 1]
                 bin_id[at] = table[k, 4] + (rank[at] - table[k, 2]) // table[k, 5]
             yield b.drop(columns="_rank").assign(bin_id=pd.arrays.IntegerArray(bin_id, bin_id < 0))

@@ -474,14 +474,8 @@ def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note:
     return lines.groupBy("key").agg(F.collect_set(F.when(~F.col("note"), F.col("line"))).alias("inherited"), F.collect_set(F.when(F.col("note"), F.col("line"))).alias("noted"))
 
 
-def own_lines(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = None, automata: bool = True, recurrence: bool = True) -> DataFrame:
-    """(key, line_no) of each line, not blank, that the message's sender newly wrote.
-
-    ``df`` has the key (unique), subject, sender and body; ``dates`` has the key and ``at``, or ``df``
-    has ``at`` itself. Bodies are read once; what is kept of them are the lines that structure leaves to
-    the sender. Null and blank bodies have no line; null subjects, senders and dates only lose what these
-    would tell. ``automata`` and ``recurrence`` switch the steps off, to measure what they do.
-    """
+def _judged(df: DataFrame, key: str, dates: DataFrame | None, automata: bool, recurrence: bool) -> DataFrame:
+    """One row for each body: what structure leaves to the sender, and what the automata and recurrence say of it."""
     named = df.select(F.col(key).alias("key"), *[F.col(c).cast("string").alias(c) for c in ("subject", "sender", "body")])
     texts = stored(reduced(named.where(F.length("body") > 0)))
     times = (df if dates is None else dates).select(F.col(key).alias("key"), F.col("at").cast("string").alias("at"))
@@ -492,12 +486,39 @@ def own_lines(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = N
         full = full.join(marked_lines(texts, meetings(texts, times)), "key", "left")
     for c, kind in (("endings", "array<bigint>"), ("inherited", "array<int>"), ("noted", "array<int>")):
         full = full if c in full.columns else full.withColumn(c, F.lit(None).cast(kind))
+    return full
+
+
+_PARTS = ["n", "at_line", "own", "sender", "endings", "inherited", "noted"]
+
+
+def _own_of(n: int, at: list[int], kept: list[str], sender: str | None, endings: list[int] | None, inherited: list[int] | None, noted: list[int] | None) -> list[int]:
+    lines, own = [""] * n, [False] * n
+    for i, line in zip(at, kept, strict=True):
+        lines[i], own[i] = line, True
+    return _finish(lines, own, sender, frozenset(endings or ()), frozenset(inherited or ()), frozenset(noted or ()))
 
-    def run(n: int, at: list[int], kept: list[str], sender: str | None, endings: list[int] | None, inherited: list[int] | None, noted: list[int] | None) -> list[tuple[int]]:
-        lines, own = [""] * n, [False] * n
-        for i, line in zip(at, kept, strict=True):
-            lines[i], own[i] = line, True
-        return [(k,) for k in _finish(lines, own, sender, frozenset(endings or ()), frozenset(inherited or ()), frozenset(noted or ()))]
 
-    lines = fan_out(full, ["n", "at_line", "own", "sender", "endings", "inherited", "noted"], ["key"], {"line_no": "int"}, run)
+def own_lines(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = None, automata: bool = True, recurrence: bool = True) -> DataFrame:
+    """(key, line_no) of each line, not blank, that the message's sender newly wrote.
+
+    ``df`` has the key (unique), subject, sender and body; ``dates`` has the key and ``at``, or ``df``
+    has ``at`` itself. Bodies are read once; what is kept of them are the lines that structure leaves to
+    the sender. Null and blank bodies have no line; null subjects, senders and dates only lose what these
+    would tell. ``automata`` and ``recurrence`` switch the steps off, to measure what they do.
+    """
+    full = _judged(df, key, dates, automata, recurrence)
+    lines = fan_out(full, _PARTS, ["key"], {"line_no": "int"}, lambda *parts: [(k,) for k in _own_of(*parts)])
     return lines.select(F.col("key").alias(key), "line_no")
+
+
+def new_text(df: DataFrame, key: str = "rowid_fts", dates: DataFrame | None = None) -> DataFrame:
+    """(key, text) of every row: the lines its sender newly wrote, empty where there are none, null for a null body."""
+
+    def run(*parts) -> list[tuple[str]]:
+        at = dict(zip(parts[1], parts[2], strict=True))
+        return [("\n".join(at[k - 1] for k in _own_of(*parts)),)]
+
+    texts = fan_out(_judged(df, key, dates, True, True), _PARTS, ["key"], {"text": "string"}, run)
+    every = df.select(F.col(key).alias("key"), F.when(F.col("body").isNotNull(), "").alias("_empty"))
+    return every.join(texts, "key", "left").select(F.col("key").alias(key), F.coalesce("text", "_empty").alias("text"))

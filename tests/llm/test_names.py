@@ -60,6 +60,8 @@ def test_links(spark):
     want = {(a, b) for g in same for a in g for b in g if a.encode() < b.encode()}
     assert got == want
     assert names.variants(df.limit(0)).count() == 0
+    of = {r.name: r.representative for r in names.members(df).collect()}
+    assert all(of[v] == min(g, key=str.encode) for g in same for v in g) and len(of) == sum(map(len, same))
 
 
 def test_common_blocks_lose_nothing(spark):

@@ -83,3 +83,21 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in quotes.own_lines(df).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (3, 2), (3, 3), (6, 1), (7, 1)]
     assert quotes.own_lines(df.limit(0)).count() == 0
+    texts = {r.rowid_fts: r.text for r in quotes.new_text(df).collect()}
+    assert texts == {1: long, 2: "D'accordo su tutto.", 3: wrapped, 4: None, 5: "", 6: "Testo mio.", 7: "Altro testo."}
+
+
+def test_notes_wrapped_otherwise(spark):
+    """A note that recurs below closing formulas is found however its lines break, a sentence of the text is not."""
+    note = "Le notizie di questa lettera sono per il solo destinatario e chi la riceve per errore voglia distruggerla subito"
+    said = "Il cantiere resta chiuso fino al termine dei collaudi e nessuno può entrarvi senza permesso scritto del direttore"
+    rows = []
+    for k in range(8):
+        words = note.split()
+        at = 5 + k
+        wrapped = " ".join(words[:at]) + "\n" + " ".join(words[at:])
+        rows.append((k, f"Oggetto {k}", f"N{k} n{k}@x.example", f"Gentili,\n{said}\nvariante {chr(97 + k)} di testo.\nCordiali saluti\n\n{wrapped}", f"2024-01-0{k + 1}"))
+    df = spark.createDataFrame(rows, "rowid_fts long, subject string, sender string, body string, at string")
+    assert {(r.rowid_fts, r.line_no) for r in quotes.own_lines(df).collect()} == {(k, n) for k in range(8) for n in (1, 2, 3, 4)}
+    kept = {(r.rowid_fts, r.line_no) for r in quotes.own_lines(df, automata=False).collect()}
+    assert any(n > 5 for _, n in kept)

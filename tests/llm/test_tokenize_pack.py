@@ -80,3 +80,11 @@ def test_plan_ties_and_one_length():
     assert packing.plan({10: 3}, 10) == [(10, 0, 3, 0, 1)]
     assert packing.bins_used(packing.plan({3: 7}, 10)) == 3
     assert packing.bins_used(packing.plan({6: 2, 4: 2}, 10)) == 2
+
+
+def test_capacities_beyond_any_packed_code(spark):
+    big = (1 << 24) + 5
+    sizes = spark.createDataFrame([(1, 5), (2, big), (3, big - 5)], "doc_id long, n_tokens long")
+    kinds = spark.createDataFrame([(1, big), (2, 1 << 20)], "container_id int, capacity int")
+    got = {(r.doc_id): r.bin_id for r in packing.pack(sizes, kinds).where("container_id = 1").collect()}
+    assert got[1] == got[3] != got[2]
