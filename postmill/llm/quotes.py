@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -435,24 +435,22 @@ def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note:
     """(key, inherited, noted): line indexes (from 0) that the automata mark.
 
     One generalised suffix automaton for each part of a thread, over its sources; about ``members``
-    messages are matched beside it in one group, so that a part held by a third of all mail is many
-    groups. ``least`` and ``least_note`` are the letters from which a match counts.
+    messages are matched beside it at once, so that a part held by a third of all mail is many groups. ``least`` and ``least_note`` are the letters from which a match counts.
     """
     met = stored(met)
     sources = met.select("kind", "part", F.col("source").alias("key")).distinct()
     readers = met.select("kind", "part", "key").distinct()
-    groups = readers.groupBy("kind", "part").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("groups"))
-    readers = readers.join(groups, ["kind", "part"]).select("kind", "part", "key", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("source"))
-    sources = sources.join(groups, ["kind", "part"]).select("kind", "part", "key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("source"))
-    full = sources.union(readers).join(texts.select("key", "at_line", "own", "zone"), "key")
-
-    def run(group):
-        import pandas as pd
-
-        note = group["kind"].iloc[0] == "note"
-        short = least_note if note else least
+    sizes = readers.groupBy("kind", "part").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("groups"))
+    readers = readers.join(sizes, ["kind", "part"]).select("kind", "part", "groups", "key", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("source"))
+    sources = sources.join(sizes, ["kind", "part"]).select("kind", "part", "groups", "key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("source"))
+    # parts that few messages meet share a cell, as many cells as there are rows for: a group of its own for each would cost more than its matches
+    cells = max(1, met.count() // (4 * members))
+    cell = F.when(F.col("groups") == 1, F.pmod("part", F.lit(cells))).otherwise(F.xxhash64("part", "salt"))
+    full = sources.union(readers).withColumn("cell", cell).join(texts.select("key", "at_line", "own", "zone"), "key")
+
+    def match(note: bool, rows: list[tuple]) -> Iterator[tuple]:
         strings, todo = [], []
-        for key, source, at, own, zone in zip(group["key"], group["source"], group["at_line"], group["own"], group["zone"], strict=True):
+        for key, source, at, own, zone in rows:
             # a source of notes gives what is below its closing formula, a reader what may be an ending
             use = [i for i in range(len(own)) if not note or (zone[i] == 2 if source else zone[i] != 0)]
             text, where = letters("\n".join(own[i] for i in use))
@@ -461,16 +459,22 @@ def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note:
             else:
                 todo.append((key, text, where, [int(at[i]) for i in use]))
         automaton = SuffixAutomaton(strings)
-        out = []
         for key, text, where, at in todo:
             full = np.bincount(where, minlength=1)
-            for s, e in automaton.matches(text, short):
+            for s, e in automaton.matches(text, least_note if note else least):
                 ids, counts = np.unique(where[s:e], return_counts=True)
-                out += [(key, note, at[i]) for i, c in zip(ids.tolist(), counts.tolist(), strict=True) if c >= 0.8 * full[i]]
-        return pd.DataFrame(out, columns=["key", "note", "line"])
+                yield from ((key, note, at[i]) for i, c in zip(ids.tolist(), counts.tolist(), strict=True) if c >= 0.8 * full[i])
+
+    def run(group):
+        import pandas as pd
+
+        parts: dict[tuple, list[tuple]] = {}
+        for kind, part, salt, *row in zip(*(group[c] for c in ("kind", "part", "salt", "key", "source", "at_line", "own", "zone")), strict=True):
+            parts.setdefault((kind, part, salt), []).append(tuple(row))
+        return pd.DataFrame([x for (kind, _, _), rows in parts.items() for x in match(kind == "note", rows)], columns=["key", "note", "line"])
 
     kind = texts.schema["key"].dataType.simpleString()
-    lines = in_tasks(full, "kind", "part", "salt").groupBy("kind", "part", "salt").applyInPandas(run, f"key {kind}, note boolean, line int")
+    lines = in_tasks(full, "cell").groupBy("cell").applyInPandas(run, f"key {kind}, note boolean, line int")
     return lines.groupBy("key").agg(F.collect_set(F.when(~F.col("note"), F.col("line"))).alias("inherited"), F.collect_set(F.when(F.col("note"), F.col("line"))).alias("noted"))
 
 
