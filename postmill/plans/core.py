@@ -507,7 +507,14 @@ def message_folders(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", naming.folder(F.col("account"), F.col("subject"), F.col("date_certified"), F.col("id")).alias("folder"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT msg_id, list_sort(list(name) FILTER (WHERE name IS NOT NULL)) AS names FROM attachments GROUP BY msg_id), u AS (SELECT msg_id, unnest(names) AS name, unnest(range(len(names))) AS i FROM a),
+  c AS (SELECT *, rtrim(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(name), '[\t\r\n]', ' ', 'g'), '[\x00-\x1f\x7f<>:"/\\|?*]', '_', 'g'), '\s+', ' ', 'g')), '. ') AS clean FROM u),
+  p AS (SELECT *, trim(clean, '.') = '' AS nothing, length(string_split(clean, '.')[-1]) <= 12 AND instr(clean, '.') > 1 AND length(regexp_extract(clean, '^(.*)\.[^.]*$', 1)) > 0 AS cut FROM c),
+  q AS (SELECT *, CASE WHEN cut THEN regexp_extract(clean, '^(.*)\.[^.]*$', 1) ELSE clean END AS stem, CASE WHEN cut THEN '.' || replace(string_split(clean, '.')[-1], ' ', '') ELSE '' END AS tail, CASE WHEN cut THEN 1 + length(string_split(clean, '.')[-1]) ELSE 0 END AS room FROM p),
+  b AS (SELECT *, CASE WHEN nothing THEN 'allegato' ELSE rtrim(substr(CASE WHEN regexp_matches(lower(stem), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN '_' || stem ELSE stem END, 1, 96 - room), '. ') || tail END AS base FROM q),
+  n AS (SELECT *, row_number() OVER (PARTITION BY msg_id, lower(base) ORDER BY i) - 1 AS k FROM b),
+  f AS (SELECT *, CASE WHEN k = 0 THEN base WHEN contains(base, '.') THEN substr(regexp_extract(base, '^(.*)\.[^.]*$', 1), 1, 96 - length('-' || k || '.' || string_split(base, '.')[-1])) || '-' || k || '.' || string_split(base, '.')[-1] ELSE substr(base, 1, 96 - length('-' || k)) || '-' || k END AS file FROM n)
+  SELECT msg_id, list(name ORDER BY i) AS names, list(file ORDER BY i) AS files FROM f GROUP BY msg_id""")
 def attachment_safe_names(spark: SparkSession, d: str) -> DataFrame:
     """The names under which each message's attachments are written, harmless and unique."""
     from postmill.functions import naming
