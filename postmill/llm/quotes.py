@@ -425,13 +425,20 @@ def meetings(texts: DataFrame, times: DataFrame, salts: int = 8) -> DataFrame:
     later = F.col("when.at") > F.col("first.at")
     source = F.when(F.col("kind") == "talk", F.when(later, F.col("first.key"))).otherwise(F.when(F.col("first.key") != F.col("key"), F.col("first.key")).otherwise(F.col("last.key")))
     pairs = both.select("kind", "of", source.alias("source"), "key").where(F.col("source").isNotNull() & (F.col("source") != F.col("key"))).distinct()
-    sizes = pairs.where(F.col("kind") == "talk").groupBy("of").agg(F.ceil(F.approx_count_distinct("source") / 16).alias("parts"))
-    cut = pairs.join(sizes, "of", "left")
-    part = F.when(F.col("kind") == "note", F.xxhash64("source")).otherwise(F.xxhash64("of", F.pmod(F.xxhash64("source"), F.coalesce("parts", F.lit(1)))))
-    return cut.select("kind", part.alias("part"), "source", "key")
+    notes = pairs.where(F.col("kind") == "note").select("kind", F.xxhash64("source").alias("part"), "source", "key")
+    talks = pairs.where(F.col("kind") == "talk")
+    sizes = talks.groupBy("of").agg(F.ceil(F.approx_count_distinct("source") / 16).alias("parts"))
+    talks = _salted(talks, sizes, ["of"], salts).select("kind", F.xxhash64("of", F.pmod(F.xxhash64("source"), "parts")).alias("part"), "source", "key")
+    return notes.union(talks)
 
 
-def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note: int = 40, members: int = 256) -> DataFrame:
+def _salted(many: DataFrame, few: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """Inner join of rows that have a key with one row for each value of ``on``: a value of a third of all rows is spread over the tasks."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(spread, [*on, "_salt"]).drop("_salt")
+
+
+def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note: int = 40, members: int = 256, salts: int = 8) -> DataFrame:
     """(key, inherited, noted): line indexes (from 0) that the automata mark.
 
     One generalised suffix automaton for each part of a thread, over its sources; about ``members``
@@ -441,7 +448,7 @@ def marked_lines(texts: DataFrame, met: DataFrame, least: int = 60, least_note:
     sources = met.select("kind", "part", F.col("source").alias("key")).distinct()
     readers = met.select("kind", "part", "key").distinct()
     sizes = readers.groupBy("kind", "part").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("groups"))
-    readers = readers.join(sizes, ["kind", "part"]).select("kind", "part", "groups", "key", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("source"))
+    readers = _salted(readers, sizes, ["kind", "part"], salts).select("kind", "part", "groups", "key", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int").alias("salt"), F.lit(False).alias("source"))
     sources = sources.join(sizes, ["kind", "part"]).select("kind", "part", "groups", "key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("source"))
     # parts that few messages meet share a cell, as many cells as there are rows for: a group of its own for each would cost more than its matches
     cells = max(1, met.count() // (4 * members))
