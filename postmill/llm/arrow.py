@@ -8,11 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 
-def fan_out(df: DataFrame, inputs: list[str], carry: list[str], outputs: dict[str, str], make: Callable[..., list[tuple]], rows: int = 512) -> DataFrame:
+def fan_out(df: DataFrame, inputs: list[str], carry: list[str], outputs: dict[str, str], make: Callable[..., list[tuple]], rows: int = 512, together: bool = False) -> DataFrame:
     """``make(*values of inputs)`` gives the output rows of one row; ``carry`` columns are repeated beside them.
 
     ``outputs`` maps output names to types. Rows are worked on ``rows`` at a time, which bounds the
-    memory of a task whatever the size of the Arrow batches.
+    memory of a task whatever the size of the Arrow batches. With ``together`` ``make`` takes whole columns
+    of so many rows, as lists, and gives a list of output rows for each row.
     """
     carried = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     schema = ", ".join(x for x in (carried, ", ".join(f"`{c}` {t}" for c, t in outputs.items())) if x)
@@ -27,7 +28,7 @@ def fan_out(df: DataFrame, inputs: list[str], carry: list[str], outputs: dict[st
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
                 columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
-                got = [make(*values) for values in zip(*columns, strict=True)]
+                got = make(*columns) if together else [make(*values) for values in zip(*columns, strict=True)]
                 index = pa.array(np.repeat(np.arange(len(got)), [len(g) for g in got]))
                 flat = [row for g in got for row in g]
                 arrays = [batch.column(batch.schema.get_field_index(c)).take(index) for c in carry]

@@ -60,12 +60,22 @@ class Boost:
         """Probability of the second class for each row."""
         x = np.asarray(x, float)
         score = np.full(len(x), self.start)
-        rows = np.arange(len(x))
-        for feature, cut, value in self.model:
-            node = np.ones(len(x), int)
-            for _ in range(self.depth):
-                f = feature[node]
-                right = (f >= 0) & (x[rows, np.maximum(f, 0)] >= cut[node])
-                node = 2 * node + right
-            score += value[node]
+        columns = np.ascontiguousarray(x.T)
+        sides: dict[tuple[int, float], np.ndarray] = {}
+
+        def below(tree: tuple, k: int, level: int):
+            """Values under node k, for all rows at once: a column is compared once with each cut."""
+            feature, cut, value = tree
+            if level == self.depth:
+                return value[k]
+            f = int(feature[k])
+            if f < 0:
+                return below(tree, 2 * k, level + 1)
+            side = (f, float(cut[k]))
+            if side not in sides:
+                sides[side] = columns[f] >= cut[k]
+            return np.where(sides[side], below(tree, 2 * k + 1, level + 1), below(tree, 2 * k, level + 1))
+
+        for tree in self.model:
+            score += below(tree, 1, 0)
         return 1 / (1 + np.exp(-score))

@@ -15,7 +15,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from postmill.llm import pii_labels
 from postmill.llm.arrow import fan_out
 from postmill.llm.boost import Boost
 from postmill.llm.names import lcs_ratio
-from postmill.session import checkpoint
+from postmill.session import checkpoint, in_tasks
 
 HYPHENS = "-‐‑­¬"
 # Ways of writing a page number, and what a scanner makes of letters (page, scan).
@@ -60,57 +60,154 @@ def page_mark(line: str) -> tuple[int, int]:
     return 0, 0
 
 
-def _bare(line: str) -> str:
-    return re.sub(rf"[{re.escape(_SPECKS)}]", "", " ".join(line.split())).lower()
+_RANGE = re.compile(r"\d[/-]\d|n\. \d")
+# what single characters tell of a line; every way of writing a page number begins and ends with some of them
+_DIGIT, _UPPER, _LOWER, _END, _MARK_FIRST, _MARK_LAST, _HEADING_FIRST, _HYPHEN, _UNSEEN = (1 << k for k in range(9))
 
 
-def line_features(lines: list[str], pages: int | None) -> tuple[list[int], np.ndarray]:
-    """(indexes of the lines that are not blank, a row of features for each)."""
-    at = [k for k, line in enumerate(lines) if line.strip()]
-    text = [lines[k].strip() for k in at]
-    n = len(text)
-    marks = [page_mark(t) for t in text]
-    widest = max((len(t) for t in text), default=1)
-    # the way of writing whose numbers run on best is the text's page numbering
-    runs = {}
-    for form in {f for f, _ in marks if f}:
-        want, good = 1, 0
-        for f, v in marks:
-            if f == form and v >= want:
-                good, want = good + (v == want), v + 1
-        runs[form] = good
-    total = pages if pages and pages > 0 else max(runs.values(), default=0)
-    anchors, want = [], {}
-    in_order = [False] * n
-    for i, (f, v) in enumerate(marks):
-        if f:
+def _kind(ch: str) -> int:
+    mark_first, mark_last = ch in "pPsSſ-–—[IVXLC" or ch.isdecimal(), ch in "-–—]IVXLC" or ch.isdecimal()
+    return _DIGIT * ch.isdigit() | _UPPER * ch.isupper() | _LOWER * ch.islower() | _END * (ch in ".!?:;,") | _MARK_FIRST * mark_first | _MARK_LAST * mark_last | _HEADING_FIRST * (ch in "actoACTO") | _HYPHEN * (ch in HYPHENS)
+
+
+class _Signs:
+    """Kinds of the characters of many lines at once; each character is looked at once for each process."""
+
+    kinds = np.full(0x110000, _UNSEEN, np.uint16)
+
+    def __init__(self, lines: list[str]):
+        codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kinds[codes]
+        if (kinds & _UNSEEN).any():
+            for c in np.unique(codes[kinds == _UNSEEN]).tolist():
+                self.kinds[c] = _kind(chr(c))
+            kinds = self.kinds[codes]
+        self.sizes = np.fromiter(map(len, lines), int, len(lines))
+        ends = np.cumsum(self.sizes)
+        starts = ends - self.sizes
+        self.first, self.last = kinds[starts], kinds[ends - 1]
+        self.digits, self.capitals = (np.add.reduceat(kinds & bit != 0, starts, dtype=int) if lines else starts for bit in (_DIGIT, _UPPER))
+
+
+def _bare(tokens: list[str], specks: list[str]) -> str:
+    line = " ".join(tokens)
+    for speck in specks:
+        line = line.replace(speck, "")
+    return line.lower()
+
+
+def _near_titles(bare: list[str], titled: list[int]) -> Callable[[int], int]:
+    """How many other titled lines (5 at most) are like one of them; those that begin or end alike are compared, found by that and their length."""
+    starts: dict[str, dict[int, list[int]]] = {}
+    ends: dict[str, dict[int, list[int]]] = {}
+    for j in titled:
+        b = bare[j]
+        starts.setdefault(b[:3], {}).setdefault(len(b), []).append(j)
+        ends.setdefault(b[-5:], {}).setdefault(len(b), []).append(j)
+
+    def count(i: int) -> int:
+        b, n = bare[i], 0
+        for found, other in ((starts[b[:3]], None), (ends[b[-5:]], b[:3])):
+            if len(found) == 1 and len(found[len(b)]) == 1:
+                continue
+            for size in range(len(b) - 3, len(b) + 4):
+                for j in found.get(size, ()):
+                    n += j != i and bare[j][:3] != other and lcs_ratio(b, bare[j]) > 0.9
+                    if n == 5:
+                        return n
+        return n
+
+    return count
+
+
+class _Lines:
+    """The lines of many texts that are not blank, stripped, and a row of features for each."""
+
+    def __init__(self, texts: list[list[str]], pages: list[int | None]):
+        self.at: list[list[int]] = []
+        self.text: list[str] = []
+        for lines in texts:
+            stripped = [line.strip() for line in lines]
+            self.at.append([k for k, t in enumerate(stripped) if t])
+            self.text += filter(None, stripped)
+        self.tokens = [t.split() for t in self.text]
+        self.signs = signs = _Signs(self.text)
+        self.starts = np.cumsum([0, *map(len, self.at)]).tolist()
+        self.x = np.zeros((len(self.text), 18))
+        if not self.text:
+            return
+        first, last = signs.first, signs.last
+        marked = {i: mark for i in np.flatnonzero((first & _MARK_FIRST > 0) & (last & _MARK_LAST > 0)).tolist() if (mark := page_mark(self.text[i]))[0]}
+        amount = {i for i in np.flatnonzero(last & _DIGIT > 0).tolist() if self.text[i][-3:-2] == "," and _AMOUNT.match(self.text[i])}
+        heading = {i for i in np.flatnonzero(first & _HEADING_FIRST > 0).tolist() if _HEADING.match(self.text[i])}
+        ranges = [i for i in np.flatnonzero(signs.digits).tolist() if _RANGE.search(self.text[i])] + [i for i, t in enumerate(self.text) if " - " in t or "   " in t]
+        sizes, ended, lower = signs.sizes.tolist(), last & _END > 0, first & _LOWER > 0
+        # lines that can be titles, but for what their text tells
+        titled = (signs.sizes >= 8) & (signs.sizes <= 90) & ~ended
+        titled[[*marked, *heading, *amount]] = False
+        open_title = (titled & ~lower).tolist()
+        titled = titled.tolist()
+        x = self.x
+        for k, n in enumerate(pages):
+            a, b = self.starts[k], self.starts[k + 1]
+            if a < b:
+                self._fill(a, b, n, {i: marked[i] for i in range(a, b) if i in marked} if marked else {}, amount, sizes, titled, open_title)
+                x[a, 5] = x[a, 15] = x[b - 1, 4] = 1.0
+        x[[*heading], 16] = 1.0
+        x[[*amount], 16] += 2.0
+        x[ranges, 17] = 2.0
+        x[:-1, 17] += lower[1:] & (x[1:, 5] == 0)
+        x[:, 10], x[:, 11] = first & _UPPER > 0, ended
+        x[:, 12] = signs.sizes / x[:, 12]
+        x[:, 13], x[:, 14] = signs.digits / signs.sizes, signs.capitals / signs.sizes
+        x[1:, 15] = np.maximum(x[1:, 15], ended[:-1])
+
+    def _fill(self, a: int, b: int, pages: int | None, marks: dict[int, tuple[int, int]], amount: set[int], sizes: list[int], titled: list[bool], open_title: list[bool]) -> None:
+        """What the lines from a to b, those of one text, tell of each other."""
+        x = self.x
+        # the way of writing whose numbers run on best is the text's page numbering
+        runs = {}
+        for form in {f for f, _ in marks.values()}:
+            want, good = 1, 0
+            for f, v in marks.values():
+                if f == form and v >= want:
+                    good, want = good + (v == want), v + 1
+            runs[form] = good
+        total = pages if pages and pages > 0 else max(runs.values(), default=0)
+        anchors, want = [], {}
+        for i, (f, v) in marks.items():
             # numbers of lost lines may be missing; bare figures must go on and stay within the pages
-            in_order[i] = want.get(f, 1) <= v <= max(total, want.get(f, 1))
-            if in_order[i]:
+            in_order = want.get(f, 1) <= v <= max(total, want.get(f, 1))
+            if in_order:
                 want[f] = v + 1
-            if in_order[i] or f not in (5, 7):
+            if in_order or f not in (5, 7):
                 anchors.append(i)
-    anchor_set = set(anchors)
-    starts = [0] + [i + 1 for i in anchors if i + 1 < n] + [i - 1 for i in anchors if i] + [i + 2 for i in anchors if i + 2 < n and i + 1 in anchor_set]
-    edge = {i for i in starts if not marks[i][0]}
-    bare = [_bare(t) for t in text]
-    short = [i for i in range(n) if len(text[i]) <= 90 and not _AMOUNT.match(text[i])]
-    same = Counter(bare[i] for i in short)
-    titled = [i for i in short if len(text[i]) >= 8 and text[i][-1] not in ".!?:;," and not marks[i][0] and (i in edge or not text[i][0].islower()) and not _HEADING.match(text[i])]
-    x = np.zeros((n, 18))
-    for i, t in enumerate(text):
-        f, v = marks[i]
-        prev, nxt = text[i - 1] if i else "", text[i + 1] if i + 1 < n else ""
-        repeats = same[bare[i]] - 1 if len(t) <= 90 else 0
-        if not repeats and i in titled:
-            repeats = sum(j != i and abs(len(bare[j]) - len(bare[i])) <= 3 and (bare[j][:3] == bare[i][:3] or bare[j][-5:] == bare[i][-5:]) and lcs_ratio(bare[i], bare[j]) > 0.9 for j in titled)
-        alone = bool(re.search(r"[.!?:;,]$", prev)) or not prev
-        x[i] = (
-            f, float(in_order[i]), runs.get(f, 0) / max(total, 1), min(total, 9), float(i == n - 1), float(i == 0), min(repeats, 5), float(i in edge), float(i - 1 in anchor_set), float(i + 1 in anchor_set),
-            float(t[0].isupper()), float(t[-1] in ".!?:;,"), len(t) / widest, sum(c.isdigit() for c in t) / len(t), sum(c.isupper() for c in t) / len(t), float(alone),
-            float(bool(_HEADING.match(t))) + 2.0 * bool(_AMOUNT.match(t)), float(nxt[:1].islower()) + 2 * float(" - " in t or "   " in t or bool(re.search(r"\d[/-]\d|n\. \d", t))),
-        )
-    return at, x
+            x[i, :3] = f, in_order, runs[f] / max(total, 1)
+        x[a:b, 3] = min(total, 9)
+        anchor_set = set(anchors)
+        starts = [a] + [i + 1 for i in anchors if i + 1 < b] + [i - 1 for i in anchors if i > a] + [i + 2 for i in anchors if i + 2 < b and i + 1 in anchor_set]
+        edge = {i for i in starts if i not in marks}
+        x[[*edge], 7] = 1.0
+        x[[i + 1 for i in anchors if i + 1 < b], 8] = 1.0
+        x[[i - 1 for i in anchors if i > a], 9] = 1.0
+        own = self.text[a:b]
+        x[a:b, 12] = max(sizes[a:b])
+        specks = [c for c in _SPECKS if any(c in t for t in own)]
+        bare = [_bare(w, specks) if n <= 90 else "" for w, n in zip(self.tokens[a:b], sizes[a:b], strict=True)]
+        same = Counter([w for i, w in enumerate(bare, a) if sizes[i] <= 90 and i not in amount])
+        titles = [i - a for i in range(a, b) if open_title[i] or (titled[i] and i in edge)]
+        repeats = [same[w] - 1 if n <= 90 else 0 for w, n in zip(bare, sizes[a:b], strict=True)]
+        if len(titles) > 1:
+            like = _near_titles(bare, titles)
+            for i in titles:
+                repeats[i] = repeats[i] or like(i)
+        x[a:b, 6] = np.minimum(repeats, 5)
+
+
+def line_features(lines: list[str], pages: int | None) -> tuple[list[int], np.ndarray]:
+    """(indexes of the lines that are not blank, a row of features for each)."""
+    one = _Lines([lines], [pages])
+    return one.at[0], one.x
 
 
 def next_running(lines: list[str], furniture: set[int], k: int) -> int | None:
@@ -124,9 +221,14 @@ def next_running(lines: list[str], furniture: set[int], k: int) -> int | None:
 _CUT = re.compile(rf"([^\s]*[^\W\d_][{re.escape(_SPECKS)}]?)([{HYPHENS}])\s*$")
 
 
+def cut_end(line: str) -> re.Match | None:
+    """The part of a word and the hyphen that end a line which is not blank, or None."""
+    return _CUT.match(line.rsplit(None, 1)[-1])
+
+
 def pair_features(line: str, nxt: str, widest: int) -> list[float] | None:
     """Features of a line's end and the next line's start; None where the line does not end in a hyphen."""
-    m = _CUT.search(line.rstrip())
+    m = cut_end(line)
     if not m or not nxt.strip():
         return None
     left, right = m.group(1), nxt.strip().split()[0]
@@ -280,20 +382,60 @@ def scan_distance(scan: str, page: str) -> float:
     return min(best[n][m], 3.0)
 
 
-def word_features(word: str, other: str, df_other: int, df_word: int) -> list[float]:
-    """Features of a scanned word and a word it may stand for."""
-    d = scan_distance(word, other)
+_CONFUSED: dict[tuple[str, str], list[tuple[str, str]]] = {}
+for _a, _b in CONFUSIONS:
+    _CONFUSED.setdefault((_a[0], _b[0]), []).append((_a, _b))
+
+
+def near_distance(scan: str, page: str) -> float:
+    """``scan_distance`` where it is 1 at most and the page's word has no speck, else infinite.
+
+    Then letters that are the same are never better read otherwise, and one edit leaves no room for more.
+    """
+    i, n, m = 0, len(page), len(scan)
+    for a, b in zip(page, scan, strict=False):
+        if a != b:
+            break
+        i += 1
+    if i == n == m:
+        return 0.0
+    edited = page[i + 1 :] == scan[i + 1 :] if n == m else page[i:] == scan[i + 1 :] if n + 1 == m else page[i + 1 :] == scan[i:] if n == m + 1 else False
+    best = 1.0 if edited else math.inf
+    if i == m or (scan[i] not in _SPECKS and (i == n or (page[i], scan[i]) not in _CONFUSED)):
+        return best
+    todo = [(i, i, 0.0)]
+    while todo:
+        i, j, c = todo.pop()
+        while i < n and j < m and page[i] == scan[j]:
+            i, j = i + 1, j + 1
+        if i == n and j == m:
+            best = min(best, c)
+        elif j < m:
+            if scan[j] in _SPECKS and c + 0.2 <= 1.0:
+                todo.append((i, j + 1, c + 0.2))
+            if i < n and c + 0.3 <= 1.0:
+                for a, b in _CONFUSED.get((page[i], scan[j]), ()):
+                    if page.startswith(a, i) and scan.startswith(b, j):
+                        todo.append((i + len(a), j + len(b), c + 0.3))
+    return best
+
+
+def word_features(word: str, other: str, df_other: int, df_word: int, d: float | None = None) -> list[float]:
+    """Features of a scanned word and a word it may stand for; ``d`` is their distance where it is known."""
+    d = scan_distance(word, other) if d is None else d
     odd = sum(not ch.isalpha() for ch in word)
     return [d, lcs_ratio(word, other), len(word), abs(len(word) - len(other)), float(odd), math.log10(df_other + 1), math.log10((df_word + 0.5) / (df_other + 0.5)), d / max(len(other), 1), float(any(c in _SPECKS for c in word)), float(word[-1:] != other[-1:]), float(plain_form(word) == other)]
 
 
 _CODE = re.compile(r"@|://|www\.|\d.*\d|^[A-Z]{2,}[\dA-Z-]*\d|\.\w+\.|^<|chiocciola")
 
+_ODD = re.compile(rf"[{re.escape(_SPECKS)}`015I]|\\/|\(\)")  # the signs that plain_form reads otherwise
+
 
 @lru_cache(maxsize=100_000)
 def plain_form(token: str) -> str | None:
     """What an odd token must have been, without any lexicon, or None where nothing about it is odd."""
-    if _CODE.search(token) or len(token) < 2:
+    if not _ODD.search(token) or _CODE.search(token) or len(token) < 2:
         return None
     new = token
     if re.search(rf"[^\W\d_][{re.escape(_SPECKS)}]|[{re.escape(_SPECKS)}][^\W\d_]", new):
@@ -321,44 +463,87 @@ class Reader:
     def __init__(self, furniture: Boost, cut: Boost):
         self.furniture, self.cut = furniture, cut
 
-    def read(self, text: str, pages: int | None) -> tuple[list[str], set[int], dict[int, tuple[int, str, str]], list[tuple[int, int, int, str]]]:
-        """(lines, furniture, cuts, words): cuts map a line to (next line, joined word, word with hyphen);
-        words are (line, line of the rest, characters before the border, token)."""
-        lines = text.split("\n")
-        at, x = line_features(lines, pages)
-        furniture = {k for k, p in zip(at, self.furniture.predict(x), strict=True) if p > 0.5} if at else set()
-        widest = max(map(len, lines))
+    def lines(self, texts: list[str], pages: list[int | None]) -> list[tuple[list[str], set[int], dict[int, tuple[int, str, str]], list[tuple[int, list[str]]]]]:
+        """For each text (lines, furniture, cuts, tokens): cuts map a line to (next line, joined word, word with hyphen);
+        tokens are (line, its tokens) of running text, without the parts of cut words. Texts are classified together."""
+        parts = [text.split("\n") for text in texts]
+        every = _Lines(parts, pages)
+        hit = self.furniture.predict(every.x) > 0.5
+        hyphen = (every.signs.last & _HYPHEN > 0) & ~hit
         pairs, feats = [], []
-        for k in at:
-            if k in furniture or lines[k].rstrip()[-1] not in HYPHENS:
-                continue
-            j = next_running(lines, furniture, k)
-            if j is not None and (f := pair_features(lines[k], lines[j], widest)):
-                pairs.append((k, j))
-                feats.append(f)
-        cuts: dict[int, tuple[int, str, str]] = {}
+        furnitures: list[set[int]] = []
+        for t, (lines, at, first) in enumerate(zip(parts, every.at, every.starts, strict=False)):
+            furniture = {at[i] for i in np.flatnonzero(hit[first : first + len(at)]).tolist()}
+            furnitures.append(furniture)
+            widest = None
+            for k in [at[i] for i in np.flatnonzero(hyphen[first : first + len(at)]).tolist()]:
+                widest = max(map(len, lines)) if widest is None else widest
+                j = next_running(lines, furniture, k)
+                if j is not None and (f := pair_features(lines[k], lines[j], widest)):
+                    pairs.append((t, k, j))
+                    feats.append(f)
+        cuts: list[dict[int, tuple[int, str, str]]] = [{} for _ in parts]
         if pairs:
-            for (k, j), p in zip(pairs, self.cut.predict(np.array(feats)), strict=True):
+            for (t, k, j), p in zip(pairs, self.cut.predict(np.array(feats)), strict=True):
                 if p > 0.5:
-                    left, right = _CUT.search(lines[k].rstrip()).group(1), lines[j].strip().split()[0]
-                    cuts[k] = (j, (left + right).strip(_EDGE), f"{left}-{right}".strip(_EDGE))
+                    lines = parts[t]
+                    left, right = cut_end(lines[k]).group(1), lines[j].strip().split()[0]
+                    cuts[t][k] = (j, (left + right).strip(_EDGE), f"{left}-{right}".strip(_EDGE))
+        out = []
+        for lines, at, first, furniture, cut in zip(parts, every.at, every.starts, furnitures, cuts, strict=False):
+            joined_into = {j for j, _, _ in cut.values()}
+            tokens = every.tokens[first : first + len(at)]
+            running = [(k, w[k in joined_into : -1 if k in cut else None]) for k, w in zip(at, tokens, strict=True) if k not in furniture]
+            out.append((lines, furniture, cut, running))
+        return out
+
+    def read(self, text: str, pages: int | None) -> tuple[list[str], set[int], dict[int, tuple[int, str, str]], list[tuple[int, int, int, str]]]:
+        """(lines, furniture, cuts, words): cuts map a line to (next line, joined word, word with hyphen);
+        words are (line, line of the rest, characters before the border, token)."""
+        [(lines, furniture, cuts, running)] = self.lines([text], [pages])
         words: list[tuple[int, int, int, str]] = []
-        joined_into = {j for j, _, _ in cuts.values()}
-        for k in at:
-            if k in furniture:
-                continue
-            tokens = lines[k].split()
-            if k in joined_into:
-                tokens = tokens[1:]
+        for k, tokens in running:
             if k in cuts:
-                tokens = tokens[:-1]
-                j, joined, _ = cuts[k]
-                left = _CUT.search(lines[k].rstrip()).group(1).lstrip(_EDGE)
-                words.append((k, j, len(left), joined))
-            words += [(k, k, 0, t.strip(_EDGE) if not t.rstrip(".,;:").endswith("()") else t.rstrip(".,;:").lstrip(_EDGE)) for t in tokens]
+                words.append(cut_word(lines, k, cuts[k]))
+            words += [(k, k, 0, trimmed(t)) for t in tokens]
         return lines, furniture, cuts, [w for w in words if w[3]]
 
 
+def trimmed(token: str) -> str:
+    """The token without marks at its ends; an o read as () stays."""
+    bare = token.rstrip(".,;:")
+    return bare.lstrip(_EDGE) if bare.endswith("()") else token.strip(_EDGE)
+
+
+def cut_word(lines: list[str], k: int, cut: tuple[int, str, str]) -> tuple[int, int, int, str]:
+    """(line, line of the rest, characters before the border, word) of a word cut at the end of line k."""
+    return k, cut[0], len(cut_end(lines[k]).group(1).lstrip(_EDGE)), cut[1]
+
+
+class _Kept(dict):
+    """What a function gives for each token, kept for as many as ``most`` tokens; ``dull`` are those it gives nothing for."""
+
+    def __init__(self, make: Callable, most: int = 100_000):
+        super().__init__()
+        self.make, self.most = make, most
+        self.dull: set[str] = set()
+
+    def __missing__(self, token: str):
+        if len(self) >= self.most:
+            self.clear()
+            self.dull.clear()
+        value = self[token] = self.make(token)
+        if not value:
+            self.dull.add(token)
+        return value
+
+
+def _clean_word(token: str) -> str:
+    """The word of a token as it is counted in clean texts, empty where it does not count."""
+    w = token.strip(_EDGE).lower()
+    return w if 2 <= len(w) <= 40 and not _CODE.search(w) else ""
+
+
 _MODELS: list[Models] = []
 
 
@@ -375,11 +560,12 @@ def clean_words(df: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        word = _Kept(_clean_word)
         for batch in batches:
             seen: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                seen.update({w.strip(_EDGE).lower() for w in t.split()})
-            words = [w for w in seen if 2 <= len(w) <= 40 and not _CODE.search(w)]
+                seen.update({word[w] for w in set(t.split())})
+            words = [w for w in seen if w]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n_clean"])
 
     texts = df.where(~scanned(df) & (F.length("text") > 0)).select("text")
@@ -395,6 +581,17 @@ def _grams(word, near: bool, q: int):
     return F.array_distinct(F.concat(F.when(size > (2 if near else 4), cut(q)).otherwise(none), F.when(size <= (6 if near else 4), cut(q - 1)).otherwise(none)))
 
 
+def share_grams(form: str, page: str, q: int) -> bool:
+    """Whether a candidate shares as many q-grams with a form as ``corrections`` wants."""
+
+    def grams(word: str, near: bool) -> set[str]:
+        padded, n = f"^{word}$", len(word)
+        cut = lambda k: {padded[i : i + k] for i in range(max(len(padded) - k + 1, 1))}
+        return (cut(q) if n > (2 if near else 4) else set()) | (cut(q - 1) if n <= (6 if near else 4) else set())
+
+    return len(grams(form, False) & grams(page, True)) >= max(1, (len(form) + 2) // 3 - 1)
+
+
 def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, least_clean: int = 3) -> DataFrame:
     """(word, page): scanned words and what the page had.
 
@@ -402,7 +599,9 @@ def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, leas
     with their plain form. ``counts`` are those of clean texts. Candidates are clean words of nearly the
     same length that share enough q-grams with the word or its plain form; the inverted join is on
     (q-gram, length). Of n q-grams of which m must be shared, n - m + 1 meet any candidate: the rarest are
-    taken, so that a frequent q-gram is joined only for words that have nothing rarer.
+    taken, so that a frequent q-gram is joined only for words that have nothing rarer. The few that are near
+    enough are then counted out, a pair once for each q-gram it meets by, which is cheaper than to shuffle all
+    pairs. Few bytes are many comparisons here, so the number of tasks is fixed.
     """
     odd = odd.where((F.length("word") >= 2) & (F.col("plain").isNotNull() | ~F.col("word").rlike(r"\d.*\d")))
     good = counts.where((F.col("n_clean") >= least_clean) & F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.length("word") >= 2))
@@ -412,28 +611,78 @@ def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, leas
     forms = odd.select("word", "n_scan", F.explode(F.array_distinct(F.array_compact(F.array("word", F.lower("plain"))))).alias("form")).where(F.length("form") >= 2)
     least = F.greatest(F.lit(1), F.floor((F.length("form") + 2) / 3).cast("int") - 1)
     own = _grams(F.col("form"), False, q)
-    a = forms.select("word", "n_scan", "form", F.explode(own).alias("gram")).join(held, "gram")
+    a = in_tasks(forms.select("word", "n_scan", "form", F.size(own).alias("n_own"), F.explode(own).alias("gram")).join(held, "gram"), "word", "form")
     # q-grams that no clean word has are shared with none: the others are ordered by rarity
-    ranked = a.groupBy("word", "form").agg(F.max("n_scan").alias("n_scan"), F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g"))
-    missing = F.size(own) - F.size("g")
-    taken = F.slice("g", 1, F.greatest(F.size(own) - least + 1 - missing, F.lit(0)))
+    ranked = a.groupBy("word", "form").agg(F.max("n_scan").alias("n_scan"), F.max("n_own").alias("n_own"), F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g"))
+    missing = F.col("n_own") - F.size("g")
+    taken = F.slice("g", 1, F.greatest(F.col("n_own") - least + 1 - missing, F.lit(0)))
     a = ranked.select("word", "form", "n_scan", F.explode(taken).alias("t")).select("word", "form", "n_scan", F.col("t.gram").alias("gram"), F.length("form").alias("size"))
-    near = a.join(b, ["gram", "size"]).select("word", "form", "n_scan", "page", "n_clean").distinct()
-    near = near.where(F.size(F.array_intersect(own, _grams(F.col("page"), True, q))) >= least).select("word", "n_scan", "page", "n_clean").distinct()
+    near = in_tasks(a, "gram", "size").join(b, ["gram", "size"]).select("word", "form", "n_scan", "page", "n_clean")
 
     def choose(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
-            keep = np.array([scan_distance(w, p) <= (0.35 if len(w) < 4 else 1.0) for w, p in zip(batch["word"], batch["page"], strict=True)], bool)
-            part = batch[keep]
-            if len(part):
-                x = np.array([word_features(w, p, n, s) for w, p, n, s in zip(part["word"], part["page"], part["n_clean"], part["n_scan"], strict=True)])
-                part = part.assign(score=rank.predict(x))[["word", "page", "score"]]
-                yield part[part["score"] > 0.5]
-
-    scored = near.mapInPandas(choose, "word string, page string, score double")
+            words, pages = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            d = [near_distance(w, p) for w, p in zip(words, pages, strict=True)]
+            at = [i for i, (w, c) in enumerate(zip(words, d, strict=True)) if c <= (0.35 if len(w) < 4 else 1.0)]
+            forms, n_scan, n_clean = (batch.column(k).take(pa.array(at, pa.int64())).to_pylist() for k in (1, 2, 4))
+            kept = [(words[i], pages[i], n, s, d[i]) for i, f, s, n in zip(at, forms, n_scan, n_clean, strict=True) if share_grams(f, pages[i], q)]
+            if kept:
+                good = [(w, p, c) for (w, p, *_), c in zip(kept, rank.predict(np.array([word_features(*k) for k in kept])).tolist(), strict=True) if c > 0.5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*good, strict=True) if good else ([], [], []), (pa.string(), pa.string(), pa.float64()), strict=True)], ["word", "page", "score"])
+
+    scored = near.mapInArrow(choose, "word string, page string, score double")
     return scored.groupBy("word").agg(F.max_by("page", F.struct("score", "page")).alias("page"))
 
 
+class _Seen:
+    """What a reader sees in texts, as rows (line_no, fault, line_to, word, page, border, plain): furniture, cuts
+    that are judged by the words of clean texts, words with impossible signs (odd) and words outside ``common``."""
+
+    def __init__(self, reader: Reader, common):
+        self.reader, self.common, self.kept = reader, common, None
+
+    def judged(self, token: str) -> tuple | None:
+        """(fault, word, token as written, plain form) of a trimmed token that clean texts may not hold, else None."""
+        low = token.lower()
+        if not low or low in self.common.value:
+            return None
+        new = plain_form(token)
+        if new is not None:
+            return "odd", low, token, new
+        if len(token) >= 2 and not _CODE.search(token) and any(ch.isalpha() for ch in token):
+            return "word", low, token, None
+        return None
+
+    def __call__(self, bodies: list[str], pages: list[int | None]) -> list[list[tuple]]:
+        if self.kept is None:
+            self.kept = _Kept(lambda token: self.judged(trimmed(token)))
+        known, every = self.kept, []
+        for lines, furniture, cuts, running in self.reader.lines(bodies, pages):
+            out: list[tuple] = [(k + 1, "page_furniture", None, None, None, 0, None) for k in furniture]
+            for k, cut in cuts.items():
+                j, joined, whole = cut
+                out.append((k + 1, "cut", j + 1, joined.lower(), whole.lower(), 0, None))
+                _, _, n, word = cut_word(lines, k, cut)
+                if found := self.judged(word):
+                    fault, low, token, new = found
+                    if new is None:
+                        out.append((k + 1, fault, j + 1, low, token, n, None))
+                    else:
+                        at = next((i for i, (a, b) in enumerate(zip(token, new + " " * len(token), strict=False)) if a != b), 0)
+                        out.append(((j if n and at >= n else k) + 1, fault, None, low, token, 0, new))
+            for k, tokens in running:
+                if known.dull.issuperset(tokens):
+                    continue
+                for t in tokens:
+                    if found := known[t]:
+                        fault, low, token, new = found
+                        out.append((k + 1, fault, k + 1 if new is None else None, low, token, 0, new))
+            every.append(out)
+        return every
+
+
 def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common_share: int = 500, models: Models | None = None) -> DataFrame:
     """(key, line_no, fault, line_to, word, page): faults of each line of the scanned texts, repeated
     where a line has several misread words. ``line_to`` is where a cut word goes on, ``page`` what
@@ -452,27 +701,9 @@ def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common
     least = max(3, -(-n_clean // common_share))
     common = base.sparkSession.sparkContext.broadcast(frozenset(r.word for r in counts.where(F.col("n_clean") >= least).select("word").collect()))
 
-    def read(body: str, pages: int | None) -> list[tuple]:
-        known = common.value
-        _, furniture, cuts, words = reader.read(body, pages)
-        out: list[tuple] = [(k + 1, "page_furniture", None, None, None, 0, None) for k in furniture]
-        for k, (j, joined, whole) in cuts.items():
-            out.append((k + 1, "cut", j + 1, joined.lower(), whole.lower(), 0, None))
-        for k, j, n, token in words:
-            low = token.lower()
-            if low in known:
-                continue
-            new = plain_form(token)
-            if new is not None:
-                at = next((i for i, (a, b) in enumerate(zip(token, new + " " * len(token), strict=False)) if a != b), 0)
-                out.append(((j if n and at >= n else k) + 1, "odd", None, low, token, 0, new))
-            elif len(token) >= 2 and not _CODE.search(token) and any(ch.isalpha() for ch in token):
-                out.append((k + 1, "word", j + 1, low, token, n, None))
-        return out
-
     texts = base.where(scanned(base) & (F.length("text") > 0))
     # the name of a person is written as it is: inside a sentence only lower case words are compared
-    seen = fan_out(texts, ["text", "pages"], ["key"], {"line_no": "int", "fault": "string", "line_to": "int", "word": "string", "page": "string", "border": "int", "plain": "string"}, read, rows=256)
+    seen = fan_out(texts, ["text", "pages"], ["key"], {"line_no": "int", "fault": "string", "line_to": "int", "word": "string", "page": "string", "border": "int", "plain": "string"}, _Seen(reader, common), rows=256, together=True)
     seen = checkpoint(seen)
     sure = seen.where(F.col("fault") == "page_furniture").select("key", "line_no", "fault", F.lit(None).cast("int").alias("line_to"), "word", "page")
     cuts = seen.where(F.col("fault") == "cut")

@@ -113,3 +113,50 @@ def test_rare_grams_meet_every_candidate(spark, models):
 def test_words_mended_where_they_stand():
     found = [{"line_no": 1, "fault": "misread", "line_to": None, "word": "cosa", "page": "casa"}, {"line_no": 3, "fault": "split_word", "line_to": 4, "word": "notifiea", "page": None}, {"line_no": 3, "fault": "misread", "line_to": None, "word": "notifiea", "page": "notifica"}]
     assert scans.paragraphs("la cosa\nuna cosa\nla noti-\nfiea resta", found) == "la casa una cosa la notifica resta"
+
+
+def test_blank_text_has_no_fault(spark, models):
+    """A scanned text of blanks alone is read, and has nothing in it."""
+    assert scans.Reader(models.furniture, models.cut).read(" \n\t\n", 1) == ([" ", "\t", ""], set(), {}, [])
+    df = pages(models, spark).select("extraction_id", "text", "is_ocr", "method", "pages")
+    df = df.union(spark.createDataFrame([(9, " \n \n", True, "pdf_ocr", 1)], df.schema))
+    assert scans.found(df).where("extraction_id = 9").count() == 0
+
+
+def test_texts_read_together_as_alone(models):
+    """Classified together, texts give what each gives alone; the classifiers are asked once for all of them."""
+    asked = []
+
+    class Asked:
+        def __init__(self, model):
+            self.model = model
+
+        def predict(self, x):
+            asked.append(len(x))
+            return self.model.predict(x)
+
+    made = [scans.training_page(seed) for seed in range(6000, 6030)]
+    texts, counts = ["\n".join(lines) for lines, _, _ in made] + ["", " \n"], [n for _, _, n in made] + [None, 2]
+    alone = [scans.Reader(models.furniture, models.cut).lines([t], [n])[0] for t, n in zip(texts, counts, strict=True)]
+    assert scans.Reader(Asked(models.furniture), Asked(models.cut)).lines(texts, counts) == alone
+    assert len(asked) == 2
+
+
+def test_near_distance_is_the_distance_up_to_one():
+    r = random.Random(3)
+    words = sorted({w.strip(scans._EDGE).lower() for s in scans._clean_sentences() for w in s.split() if w.isalpha() and len(w) > 1})
+    for _ in range(20000):
+        page = word = r.choice(words)
+        for _ in range(r.randint(0, 4)):
+            k = r.randint(0, len(word))
+            word = scans.scan_word(word, r) if r.random() < 0.7 and len(word) > 1 else word[:k] + r.choice("abil") + word[k + r.randint(0, 1) :]
+        far = scans.scan_distance(word, page)
+        assert scans.near_distance(word, page) == (far if far <= 1 else float("inf")), (word, page)
+
+
+def test_candidates_are_ranked_in_many_tasks(spark, models):
+    """Few bytes of candidates are many comparisons: they are not merged into one task by their size."""
+    counts = spark.createDataFrame([("notifica", 40), ("fornace", 30)], "word string, n_clean long")
+    odd = spark.createDataFrame([("n0tifica", 1, "notifica"), ("fo^rnacc", 1, "fornacc")], "word string, n_scan long, plain string")
+    plan = scans.corrections(odd, counts, models.rank)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2, plan  # the q-grams of each word, and their meeting with candidates
