@@ -26,7 +26,7 @@ from postmill.llm import pii_labels
 from postmill.llm.arrow import fan_out
 from postmill.llm.boost import Boost
 from postmill.llm.names import lcs_ratio
-from postmill.session import checkpoint, in_tasks
+from postmill.session import checkpoint, in_tasks, stored
 
 HYPHENS = "-‐‑­¬"
 # Ways of writing a page number, and what a scanner makes of letters (page, scan).
@@ -493,7 +493,7 @@ class Reader:
         for lines, at, first, furniture, cut in zip(parts, every.at, every.starts, furnitures, cuts, strict=False):
             joined_into = {j for j, _, _ in cut.values()}
             tokens = every.tokens[first : first + len(at)]
-            running = [(k, w[k in joined_into : -1 if k in cut else None]) for k, w in zip(at, tokens, strict=True) if k not in furniture]
+            running = [(k, w[k in joined_into : -1 if k in cut else None] if k in cut or k in joined_into else w) for k, w in zip(at, tokens, strict=True) if k not in furniture]
             out.append((lines, furniture, cut, running))
         return out
 
@@ -555,7 +555,7 @@ def default_models() -> Models:
 
 
 def clean_words(df: DataFrame) -> DataFrame:
-    """(word, n_clean): in how many clean texts each word stands; summed within each batch before the shuffle."""
+    """(word, n_clean): in how many clean texts each word stands, and their number for the empty word; summed within each batch before the shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -565,7 +565,8 @@ def clean_words(df: DataFrame) -> DataFrame:
             seen: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 seen.update({word[w] for w in set(t.split())})
-            words = [w for w in seen if w]
+            seen[""] = batch.num_rows
+            words = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n_clean"])
 
     texts = df.where(~scanned(df) & (F.length("text") > 0)).select("text")
@@ -581,15 +582,27 @@ def _grams(word, near: bool, q: int):
     return F.array_distinct(F.concat(F.when(size > (2 if near else 4), cut(q)).otherwise(none), F.when(size <= (6 if near else 4), cut(q - 1)).otherwise(none)))
 
 
-def share_grams(form: str, page: str, q: int) -> bool:
-    """Whether a candidate shares as many q-grams with a form as ``corrections`` wants."""
+def share_grams(form: str, page: str, q: int, earlier: list[str]) -> bool:
+    """Whether a candidate shares as many q-grams with a form as ``corrections`` wants, and none of the earlier ones."""
 
     def grams(word: str, near: bool) -> set[str]:
         padded, n = f"^{word}$", len(word)
         cut = lambda k: {padded[i : i + k] for i in range(max(len(padded) - k + 1, 1))}
         return (cut(q) if n > (2 if near else 4) else set()) | (cut(q - 1) if n <= (6 if near else 4) else set())
 
-    return len(grams(form, False) & grams(page, True)) >= max(1, (len(form) + 2) // 3 - 1)
+    held = grams(page, True)
+    return len(grams(form, False) & held) >= max(1, (len(form) + 2) // 3 - 1) and held.isdisjoint(earlier)
+
+
+def _can_be_near(word, page):
+    """What ``near_distance`` of 1 at most needs, as a Column: first and last letters are the same, confused or a speck, or one edit is all."""
+    ends = {1: {a[0] + b[0] for a, b in CONFUSIONS}, -1: {a[-1] + b[-1] for a, b in CONFUSIONS}}
+    same, like = {}, {}
+    for at, confused in ends.items():
+        w, p = F.substring(word, at, 1), F.substring(page, at, 1)
+        same[at] = w == p
+        like[at] = same[at] | w.isin(*_SPECKS) | F.concat(p, w).isin(*sorted(confused))
+    return (like[1] & like[-1]) | ((same[1] | same[-1]) & (F.levenshtein(word, page, 1) >= 0))
 
 
 def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, least_clean: int = 3) -> DataFrame:
@@ -599,9 +612,9 @@ def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, leas
     with their plain form. ``counts`` are those of clean texts. Candidates are clean words of nearly the
     same length that share enough q-grams with the word or its plain form; the inverted join is on
     (q-gram, length). Of n q-grams of which m must be shared, n - m + 1 meet any candidate: the rarest are
-    taken, so that a frequent q-gram is joined only for words that have nothing rarer. The few that are near
-    enough are then counted out, a pair once for each q-gram it meets by, which is cheaper than to shuffle all
-    pairs. Few bytes are many comparisons here, so the number of tasks is fixed.
+    taken, so that a frequent q-gram is joined only for words that have nothing rarer. Most pairs are told
+    apart by their first and last letters where they meet (``_can_be_near``); the few that are near enough are then counted out, each by the first q-gram that it meets by, so that pairs need no shuffle.
+    Few bytes are many comparisons here, so the number of tasks is fixed.
     """
     odd = odd.where((F.length("word") >= 2) & (F.col("plain").isNotNull() | ~F.col("word").rlike(r"\d.*\d")))
     good = counts.where((F.col("n_clean") >= least_clean) & F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.length("word") >= 2))
@@ -611,13 +624,13 @@ def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, leas
     forms = odd.select("word", "n_scan", F.explode(F.array_distinct(F.array_compact(F.array("word", F.lower("plain"))))).alias("form")).where(F.length("form") >= 2)
     least = F.greatest(F.lit(1), F.floor((F.length("form") + 2) / 3).cast("int") - 1)
     own = _grams(F.col("form"), False, q)
-    a = in_tasks(forms.select("word", "n_scan", "form", F.size(own).alias("n_own"), F.explode(own).alias("gram")).join(held, "gram"), "word", "form")
-    # q-grams that no clean word has are shared with none: the others are ordered by rarity
-    ranked = a.groupBy("word", "form").agg(F.max("n_scan").alias("n_scan"), F.max("n_own").alias("n_own"), F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g"))
-    missing = F.col("n_own") - F.size("g")
-    taken = F.slice("g", 1, F.greatest(F.col("n_own") - least + 1 - missing, F.lit(0)))
-    a = ranked.select("word", "form", "n_scan", F.explode(taken).alias("t")).select("word", "form", "n_scan", F.col("t.gram").alias("gram"), F.length("form").alias("size"))
-    near = in_tasks(a, "gram", "size").join(b, ["gram", "size"]).select("word", "form", "n_scan", "page", "n_clean")
+    a = in_tasks(forms.select("word", "n_scan", "form", F.explode(own).alias("gram")).join(held, "gram"), "word", "form")
+    # q-grams that no clean word has are shared with none and count among those left out: the others are ordered by rarity
+    ranked = a.groupBy("word", "form").agg(F.max("n_scan").alias("n_scan"), F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("g"))
+    rarest = F.slice("g", 1, F.greatest(F.size("g") - least + 1, F.lit(0)))["gram"]
+    taken = ranked.select("word", "form", "n_scan", F.array_join(rarest, " ").alias("taken")).where(F.col("taken") != "")
+    a = taken.select("word", "form", "n_scan", "taken", F.posexplode(F.split("taken", " ")).alias("place", "gram"), F.length("form").alias("size"))
+    near = in_tasks(a, "gram", "size").join(b, ["gram", "size"]).where(_can_be_near(F.col("word"), F.col("page"))).select("word", "form", "n_scan", "page", "n_clean", "taken", "place")
 
     def choose(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -626,8 +639,8 @@ def corrections(odd: DataFrame, counts: DataFrame, rank: Boost, q: int = 3, leas
             words, pages = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             d = [near_distance(w, p) for w, p in zip(words, pages, strict=True)]
             at = [i for i, (w, c) in enumerate(zip(words, d, strict=True)) if c <= (0.35 if len(w) < 4 else 1.0)]
-            forms, n_scan, n_clean = (batch.column(k).take(pa.array(at, pa.int64())).to_pylist() for k in (1, 2, 4))
-            kept = [(words[i], pages[i], n, s, d[i]) for i, f, s, n in zip(at, forms, n_scan, n_clean, strict=True) if share_grams(f, pages[i], q)]
+            forms, n_scan, n_clean, taken, place = (batch.column(k).take(pa.array(at, pa.int64())).to_pylist() for k in (1, 2, 4, 5, 6))
+            kept = [(words[i], pages[i], n, s, d[i]) for i, f, s, n, t, k in zip(at, forms, n_scan, n_clean, taken, place, strict=True) if share_grams(f, pages[i], q, t.split(" ")[:k])]
             if kept:
                 good = [(w, p, c) for (w, p, *_), c in zip(kept, rank.predict(np.array([word_features(*k) for k in kept])).tolist(), strict=True) if c > 0.5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*good, strict=True) if good else ([], [], []), (pa.string(), pa.string(), pa.float64()), strict=True)], ["word", "page", "score"])
@@ -697,14 +710,15 @@ def faults(df: DataFrame, key: str = "extraction_id", text: str = "text", common
     reader = Reader(models.furniture, models.cut)  # small, travels with the task
     base = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), "is_ocr", "method", F.col("pages").cast("int").alias("pages"))
     counts = checkpoint(clean_words(base))
-    n_clean = base.where(~scanned(base) & (F.length("text") > 0)).count()
+    n_clean = sum(r.n_clean for r in counts.where(F.col("word") == "").collect())
+    counts = counts.where(F.col("word") != "")
     least = max(3, -(-n_clean // common_share))
     common = base.sparkSession.sparkContext.broadcast(frozenset(r.word for r in counts.where(F.col("n_clean") >= least).select("word").collect()))
 
     texts = base.where(scanned(base) & (F.length("text") > 0))
     # the name of a person is written as it is: inside a sentence only lower case words are compared
     seen = fan_out(texts, ["text", "pages"], ["key"], {"line_no": "int", "fault": "string", "line_to": "int", "word": "string", "page": "string", "border": "int", "plain": "string"}, _Seen(reader, common), rows=256, together=True)
-    seen = checkpoint(seen)
+    seen = stored(seen, "fault")  # each fault is read on its own
     sure = seen.where(F.col("fault") == "page_furniture").select("key", "line_no", "fault", F.lit(None).cast("int").alias("line_to"), "word", "page")
     cuts = seen.where(F.col("fault") == "cut")
     joined = counts.select("word", (F.col("n_clean") + F.lit(0)).alias("n_joined"))

@@ -58,10 +58,11 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written as a table in the shared folder and read back: lineage is cut, and later reads prune columns."""
+def stored(df: DataFrame, *parts: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read back: lineage is cut, and later reads prune columns
+    and, by the columns named in ``parts``, rows."""
     path = work_dir(df.sparkSession, "stored")
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

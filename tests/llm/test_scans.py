@@ -160,3 +160,14 @@ def test_candidates_are_ranked_in_many_tasks(spark, models):
     odd = spark.createDataFrame([("n0tifica", 1, "notifica"), ("fo^rnacc", 1, "fornacc")], "word string, n_scan long, plain string")
     plan = scans.corrections(odd, counts, models.rank)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2, plan  # the q-grams of each word, and their meeting with candidates
+
+
+def test_ends_tell_pairs_apart(spark):
+    """First and last letters leave every pair that is near, and few of the others."""
+    r = random.Random(4)
+    words = sorted({w.strip(scans._EDGE).lower() for s in scans._clean_sentences() for w in s.split() if w.isalpha() and len(w) > 1})
+    near = [(word, page) for page in words * 3 if (word := scans.scan_word(page, r) if r.random() < 0.6 else page[: (k := r.randint(0, len(page)))] + r.choice("abil") + page[k + r.randint(0, 1) :])]
+    near = [(w, p) for w, p in near if scans.near_distance(w, p) <= 1]
+    far = [(w, p) for _ in range(2000) if scans.near_distance(w := r.choice(words), p := r.choice(words)) > 1]
+    left = lambda pairs: spark.createDataFrame(pairs, "word string, page string").where(scans._can_be_near(scans.F.col("word"), scans.F.col("page"))).count()
+    assert len(near) > 500 and left(near) == len(near) and left(far) < len(far) / 4
